@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, fresh, text_of
+from .shared import cut, keep_rows, text_of
 
 MIN_CHUNK, MAX_CHUNK = 512, 4096
 
@@ -45,14 +45,14 @@ def verified_seed(docs: DataFrame, text: str = "text", tries: int = 8) -> int:
 
 
 def recipes(docs: DataFrame, seed: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, recipe, text_sha256) for each row."""
+    """(doc_id, recipe, mark, text_sha256) for each row; mark is a hash of the text that tells rows of one id apart."""
     body = text_of(docs, text)
     parts = F.transform(chunks(body), lambda c: F.array(*_identifier(c, seed)))
-    return docs.select(docs[id_col].alias("doc_id"), F.flatten(parts).alias("recipe"), F.sha2(body.cast("binary"), 256).alias("text_sha256"))
+    return docs.select(docs[id_col].alias("doc_id"), F.flatten(parts).alias("recipe"), F.xxhash64(body).alias("mark"), F.sha2(body.cast("binary"), 256).alias("text_sha256"))
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+def _decided(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """One row per document: doc_id, mark, keep_id, group_size, kept, text_sha256.
 
     Groups of copies are counted with partial sums before the shuffle; the way back joins the rows with a written table
     that has one row per group of two or more, so that adaptive execution splits the rows of a large group.
@@ -62,24 +62,17 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     copied = cut(sizes.filter("group_size > 1"), "copied")
     out = light.join(copied, "recipe", "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
+    return out.select("doc_id", "mark", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+    return _decided(docs, id_col, text).drop("mark")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that stay, all columns as they are: of equal texts the row with the largest id.
 
-    Only ids and hashes are joined; the rows that go are looked up by id and text hash, so a row stays or goes by its
-    own text even where two texts share an id.
+    A row stays or goes by its own text even where two texts share an id.
     """
-    decided = cut(groups(docs, id_col, text), "decided")
-    key, digest, count = fresh(docs, "dedup_id", "dedup_digest", "dedup_n")
-    hashed = F.sha2(text_of(docs, text).cast("binary"), 256)
-    going = decided.filter(~F.col("kept")).select(F.col("doc_id").alias(key), F.col("text_sha256").alias(digest)).distinct()
-    going = cut(going, "going")
-    stays = docs.join(going, docs[id_col].eqNullSafe(going[key]) & (hashed == going[digest]), "left_anti")
-    again = cut(decided.filter("kept").groupBy(F.col("doc_id").alias(key), F.col("text_sha256").alias(digest)).agg(F.count("*").alias(count)).filter(F.col(count) > 1), "again")
-    if again.isEmpty():
-        return stays
-    repeats = stays[id_col].eqNullSafe(again[key]) & (hashed == again[digest])
-    once = stays.join(again, repeats, "left_semi").dropDuplicates([id_col, text])
-    return stays.join(again, repeats, "left_anti").unionByName(once)
+    return keep_rows(docs, _decided(docs, id_col, text).select("doc_id", "mark", "kept"), id_col, text)

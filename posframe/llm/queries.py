@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mix, token_counts
+from . import bpe, exact_dedup, mix, simhash, token_counts
 from .shared import table
 
 #: The tokenizer of the token queries; a parameter, read where it is installed.
@@ -35,8 +36,13 @@ def op5_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = simhash.grouped(table(spark, sf_dir, "documents"))
+    return grouped.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op3_token_counts, op4_exact_dedup, op5_bpe_encode)}
+    return {f.__name__: f for f in (op1_mix_sources, op3_token_counts, op4_exact_dedup, op5_bpe_encode, op7_simhash_groups)}
 
 
 OP4_SQL = """

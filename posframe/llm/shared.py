@@ -84,3 +84,23 @@ def text_of(df: DataFrame, text: str = "text") -> Column:
 
 def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
+
+
+def keep_rows(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that `decided` (doc_id, mark, kept: a row for each row of docs) keeps, all columns as they are.
+
+    mark is xxhash64 of the text, null as empty: rows that share an id but not a text have decisions of their own. Rows
+    that share both are one document, of which one stays. Only ids and marks are gathered; texts move at most once.
+    """
+    decided = cut(decided, "decided")
+    key, mark, count = fresh(docs, "kept_id", "kept_mark", "kept_n")
+    own = F.xxhash64(text_of(docs, text))
+    named = decided.select(F.col("doc_id").alias(key), F.col("mark").alias(mark), "kept")
+    going = cut(named.filter(~F.col("kept")).select(key, mark).distinct(), "going")
+    stays = docs.join(going, docs[id_col].eqNullSafe(going[key]) & (own == going[mark]), "left_anti")
+    again = cut(named.filter("kept").groupBy(key, mark).agg(F.count("*").alias(count)).filter(F.col(count) > 1), "again")
+    if again.isEmpty():
+        return stays
+    repeats = stays[id_col].eqNullSafe(again[key]) & (own == again[mark])
+    once = stays.join(again, repeats, "left_semi").dropDuplicates([id_col, text])
+    return stays.join(again, repeats, "left_anti").unionByName(once)
