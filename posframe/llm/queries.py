@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mix, simhash, token_counts
+from . import bpe, exact_dedup, mix, pii, secret_scan, simhash, token_counts
 from .shared import table
 
 #: The tokenizer of the token queries; a parameter, read where it is installed.
@@ -24,6 +24,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.planned(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(secret_scan.scanned(table(spark, sf_dir, "documents")))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -41,8 +45,12 @@ def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(pii.findings(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op3_token_counts, op4_exact_dedup, op5_bpe_encode, op7_simhash_groups)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_secret_scan, op3_token_counts, op4_exact_dedup, op5_bpe_encode, op7_simhash_groups, op9_pii)}
 
 
 OP4_SQL = """
