@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mix, pii, secret_scan, simhash, token_counts
+from . import bpe, exact_dedup, langid, mix, pii, secret_scan, sharding, simhash, token_counts
 from .shared import table
 
 #: The tokenizer of the token queries; a parameter, read where it is installed.
@@ -45,12 +45,23 @@ def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.findings(table(spark, sf_dir, "documents")))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    models = langid.TrigramModels.trained(langid.labelled_sample(docs))
+    found = langid.identified(langid.from_documents(docs), models)
+    return found.select("doc_id", "lang", "probability", "text_lang", "n_trigrams", "host_share", (F.col("lang") != langid.UND).alias("kept"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_secret_scan, op3_token_counts, op4_exact_dedup, op5_bpe_encode, op7_simhash_groups, op9_pii)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_secret_scan, op3_token_counts, op4_exact_dedup, op5_bpe_encode, op7_simhash_groups, op8_sharding, op9_pii, op10_language_id)}
 
 
 OP4_SQL = """
@@ -60,5 +71,17 @@ from documents window g as (partition by coalesce(text, ''))
 """
 
 
+OP8_SQL = """
+with rows as (select doc_id, coalesce(strlen(text), 0)::bigint as n_bytes,
+                     ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 15))::bigint as h from documents),
+levels as (select doc_id, n_bytes, d, h >> (60 - d) as p from rows, range(0, 61) t(d)),
+sized as (select *, sum(n_bytes) over b as shard_bytes, count(*) over b as shard_rows from levels window b as (partition by d, p)),
+ranked as (select *, row_number() over (partition by doc_id order by d) as k from sized where shard_bytes <= 1048576 or d = 60)
+select doc_id, n_bytes, case when d = 0 then '' else to_base(p, 2, d::integer) end as shard, d::bigint as depth,
+       shard_bytes::bigint as shard_bytes, shard_rows, shard_bytes > 1048576 as oversized
+from ranked where k = 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op8_sharding": OP8_SQL}
