@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, mix, pii, secret_scan, sharding, simhash, token_counts
+from . import bpe, exact_dedup, langid, media, mix, pii, secret_scan, sharding, simhash, token_counts
 from .shared import table
 
 #: The tokenizer of the token queries; a parameter, read where it is installed.
@@ -40,6 +40,12 @@ def op5_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_media_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and benchmark passages as recordings, their bytes being 8-bit samples: no table here has real audio."""
+    docs, known = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return media.aligned(docs, docs["text"].cast("binary"), known, known["text"].cast("binary"))
+
+
 def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = simhash.grouped(table(spark, sf_dir, "documents"))
     return grouped.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -61,7 +67,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_secret_scan, op3_token_counts, op4_exact_dedup, op5_bpe_encode, op7_simhash_groups, op8_sharding, op9_pii, op10_language_id)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_secret_scan, op3_token_counts, op4_exact_dedup, op5_bpe_encode, op6_media_prints, op7_simhash_groups, op8_sharding, op9_pii, op10_language_id)}
 
 
 OP4_SQL = """
