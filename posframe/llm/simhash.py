@@ -1,6 +1,6 @@
 """Near duplicates by SimHash: fingerprints linked at a small Hamming distance, found with vantage-point trees.
 
-1. A fingerprint per document: majority bits of the XXH64 hashes of its word shingles (numpy in Arrow batches).
+1. Fingerprints of each document: majority bits of the XXH64 hashes of its word shingles (numpy in Arrow batches).
 2. Distinct fingerprints only, each with its smallest id; copies never multiply what follows.
 3. A vantage-point tree fitted on a bounded sample routes every fingerprint to the shard that owns it and, where the
    triangle inequality leaves a boundary within reach, to the neighbouring shards as a visitor.
@@ -8,11 +8,17 @@
    exactly. A shard reports a spanning forest of its links, never all pairs.
 5. The forests' connected components give each document the smallest id it reaches.
 
-Two distinct fingerprints at distance 2 or less: one has at most 2,080 such neighbours, whatever the corpus.
+A fingerprint may have several views, each of its own shingle length and width: the first is the tree's, and a link needs
+every view within its reach. LINKED, one view of three-word shingles at two bits, is strict: an edited word in a hundred is
+often beyond it. SIMILAR is for texts whose sets of five-word shingles have a Jaccard similarity of about 0.8 or more:
+edited texts keep most of their single words, so a view of single words finds the candidates at a small distance, and a
+wide view of five-word shingles, 256 bits, decides. For similarity J the views differ in a share acos(2J / (1 + J)) / pi of
+their bits: 39 of 256 for J = 0.8, with a standard deviation of 6; the bound lies one deviation above.
 
 Defined results
 ---------------
-* Null or empty text, or white space only: fingerprint 0, linked like any other.
+* Null or empty text, or white space only: fingerprint 0 in every view, linked like any other.
+* Fewer words than a shingle has: the whole sequence is the one shingle.
 * Null ids: fingerprinted and grouped; such a row may connect others; where a group has no id, component_id is null.
 * Repeated rows and ties: alike rows have one fingerprint and one component.
 * An empty table gives an empty result; other columns are neither read nor in the way.
@@ -21,6 +27,7 @@ Defined results
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,38 +38,73 @@ from pyspark.sql import functions as F
 from .components import components
 from .shared import cut, keep_rows, ship, text_of
 
-SHINGLE, RADIUS = 3, 2
+
+@dataclass(frozen=True)
+class View:
+    """A fingerprint of shingles of `shingle` words, `bits` wide (a multiple of 64), linked at `reach` bits or fewer."""
+
+    shingle: int
+    reach: int
+    bits: int = 64
+
+
+#: A text whose fingerprints differ in at most two of 64 bits.
+LINKED = (View(3, 2),)
+#: A text whose five-word shingles are similar to 0.8 or more, as near as 256 bits can tell.
+SIMILAR = (View(1, 5), View(5, 45, 256))
 #: Fingerprints a shard should own, the most levels of the tree, and the sample's fingerprints for each shard.
 SHARD, LEVELS, PER_SHARD = 4096, 16, 16
 #: Comparisons made at once.
 BLOCK = 1 << 18
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = 42) -> int:
+def _mixed(hashes: np.ndarray, salt: int) -> np.ndarray:
+    """Further 64 bits from 64-bit hashes, by multiplications and shifts; salt 0 leaves them as they are."""
+    if not salt:
+        return hashes
+    h = hashes ^ np.uint64(salt * 0x9E3779B97F4A7C15 % (1 << 64))
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ h >> np.uint64(shift)) * np.uint64(factor)
+    return h ^ h >> np.uint64(31)
+
+
+def fingerprint(text: bytes, shingle: int = 3, bits: int = 64, seed: int = 42) -> bytes:
+    """The fingerprint's bits, most significant first; the first 64 are those of the shingles' XXH64."""
     words = text.lower().split()  # of bytes: A-Z, and ASCII white space
     if not words:
-        return 0
-    grams = [b" ".join(g) for g in zip(*(words[i:] for i in range(shingle)))] if len(words) >= shingle else [b" ".join(words)]
-    votes = np.zeros(64, np.int64)
-    for at in range(0, len(grams), 1 << 16):
-        part = grams[at : at + (1 << 16)]
+        return bytes(bits // 8)
+    if shingle == 1:
+        grams = words
+    else:
+        grams = [b" ".join(g) for g in zip(*(words[i:] for i in range(shingle)))] if len(words) >= shingle else [b" ".join(words)]
+    votes = np.zeros(bits, np.int64)
+    for at in range(0, len(grams), 1 << 14):
+        part = grams[at : at + (1 << 14)]
         hashes = np.fromiter((xxhash.xxh64_intdigest(g, seed) for g in part), np.uint64, len(part))
-        votes += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(votes * 2 > len(grams)).tobytes(), "big")
+        words_of = np.stack([_mixed(hashes, salt) for salt in range(bits // 64)], axis=1)
+        votes += np.unpackbits(words_of.astype(">u8").view(np.uint8).reshape(-1, bits // 8), axis=1).sum(axis=0, dtype=np.int32)
+    return np.packbits(votes * 2 > len(grams)).tobytes()
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, mark, fp): fp is the fingerprint's 64 bits as a long, mark a hash of the text that tells rows apart."""
+def fingerprints(docs: DataFrame, views: tuple[View, ...] = LINKED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, mark, fp, rest): fp, the first view's 64 bits as a long; rest, the other views' bits, one after another.
+
+    mark is a hash of the text that tells rows of one id apart.
+    """
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(2)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints.view(np.int64))], names=["doc_id", "mark", "fp"])
+            prints, rest = [], []
+            for body in batch.column(2):
+                first, *others = [fingerprint(body.as_py(), v.shingle, v.bits) for v in views]
+                prints.append(int.from_bytes(first, "big", signed=True))
+                rest.append(b"".join(others))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints, pa.int64()), pa.array(rest, pa.binary())], names=["doc_id", "mark", "fp", "rest"])
 
     body = text_of(docs, text)
     rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), F.xxhash64(body).alias("mark"), body.cast("binary").alias("body"))
-    return rows.mapInArrow(run, "doc_id long, mark long, fp long")
+    return rows.mapInArrow(run, "doc_id long, mark long, fp long, rest binary")
 
 
 def _distances(points: np.ndarray, vantage: np.ndarray) -> np.ndarray:
@@ -151,93 +193,127 @@ class Forest:
         self.parent = self.roots(np.arange(len(self.parent)))
 
 
+class Points:
+    """Fingerprints of a shard: the first view's, the others' as rows of 64-bit words, and the nodes' names."""
+
+    def __init__(self, fp: np.ndarray, rest: np.ndarray, node: np.ndarray):
+        self.fp, self.rest, self.node = fp, rest, node
+
+    @classmethod
+    def of(cls, fp: pa.Array, rest: pa.Array, node: pa.Array) -> Points:
+        words = np.frombuffer(b"".join(rest.to_pylist()), np.uint64)
+        return cls(fp.to_numpy().view(np.uint64), words.reshape(len(fp), -1), node.to_numpy())
+
+    @classmethod
+    def joined(cls, parts: list[Points]) -> Points:
+        return cls(*(np.concatenate([getattr(p, k) for p in parts]) for k in ("fp", "rest", "node")))
+
+    def __getitem__(self, at: slice) -> Points:
+        return Points(self.fp[at], self.rest[at], self.node[at])
+
+
+def linked(queries: Points, members: Points, views: tuple[View, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of (index into queries, index into members) of all pairs that every view links."""
+    for q, m in near(queries.fp, members.fp, views[0].reach):
+        at = 0
+        for view in views[1:]:
+            words = slice(at, at + view.bits // 64)
+            close = np.bitwise_count(queries.rest[q, words] ^ members.rest[m, words]).sum(axis=1, dtype=np.int16) <= view.reach
+            q, m, at = q[close], m[close], words.stop
+        if len(q):
+            yield q, m
+
+
 class _Shard:
     """The owners of a shard; gives a spanning forest of the links of owners and of visitors with owners."""
 
-    def __init__(self, owners: np.ndarray, reach: int):
-        self.owners, self.reach, self.forest = owners, reach, Forest(len(owners))
+    def __init__(self, owners: Points, views: tuple[View, ...]):
+        self.owners, self.views, self.forest = owners, views, Forest(len(owners.fp))
 
     def own(self) -> tuple[np.ndarray, np.ndarray]:
-        for a, b in near(self.owners, self.owners, self.reach):
+        for a, b in linked(self.owners, self.owners, self.views):
             self.forest.link(a[a < b], b[a < b])
         roots = self.forest.parent
-        linked = roots != np.arange(len(roots))
-        return self.owners[linked], self.owners[roots[linked]]
+        far = roots != np.arange(len(roots))
+        return self.owners.node[far], self.owners.node[roots[far]]
 
-    def visit(self, visitors: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for q, m in near(visitors, self.owners, self.reach):
+    def visit(self, visitors: Points) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for q, m in linked(visitors, self.owners, self.views):
             once = np.unique(np.stack([q, self.forest.parent[m]]), axis=1)
-            yield visitors[once[0]], self.owners[once[1]]
+            yield visitors.node[once[0]], self.owners.node[once[1]]
 
 
-def _links(reach: int):
-    """Over rows (shard, own, fp) sorted by shard with owners first: the links (a, b) of each shard's forest."""
+def _forests(views: tuple[View, ...]):
+    """Over rows (shard, own, fp, rest, node) sorted by shard with owners first: the links (a, b) of each shard's forest."""
 
     def batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held, shard = None, [], None
         for rows in batches:
-            shards, own, fps = (rows.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            fps = fps.view(np.uint64)
+            shards, own = (rows.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            points = Points.of(*rows.columns[2:])
             starts = np.flatnonzero(np.r_[True, shards[1:] != shards[:-1]]) if len(shards) else []
             for start, end in zip(starts, [*starts[1:], len(shards)]):
                 if shards[start] != current:
                     if held:  # a shard without visitors
-                        yield batch(*_Shard(np.concatenate(held), reach).own())
+                        yield batch(*_Shard(Points.joined(held), views).own())
                     current, held, shard = shards[start], [], None
                 split = start + int(own[start:end].sum())
                 if split > start:
-                    held.append(fps[start:split])
+                    held.append(points[start:split])
                 if split < end:
                     if shard is None:
-                        shard = _Shard(np.concatenate(held) if held else fps[:0], reach)
+                        shard = _Shard(Points.joined(held or [points[:0]]), views)
                         held = []
                         yield batch(*shard.own())
-                    for a, b in shard.visit(fps[split:end]):
+                    for a, b in shard.visit(points[split:end]):
                         yield batch(a, b)
         if held:
-            yield batch(*_Shard(np.concatenate(held), reach).own())
+            yield batch(*_Shard(Points.joined(held), views).own())
 
     return run
 
 
-def links(distinct: DataFrame, reach: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """distinct (fp) -> (a, b): links that connect all fingerprints within reach of each other, directly or by steps."""
+def links(distinct: DataFrame, views: tuple[View, ...] = LINKED, shard: int = SHARD) -> DataFrame:
+    """distinct (fp, rest, node) -> (a, b): links that connect all nodes within reach of each other, directly or by steps."""
     ship(distinct.sparkSession)
     n = distinct.count()
     levels = max(0, min(LEVELS, (max(1, n // shard) - 1).bit_length()))
-    sample = distinct.orderBy(F.xxhash64("fp"), "fp").limit(min(n // 4, PER_SHARD << levels)).toPandas()["fp"].to_numpy(np.int64) if levels else np.zeros(0, np.int64)
+    sample = distinct.orderBy(F.xxhash64("node"), "node").limit(min(n // 4, PER_SHARD << levels)).select("fp").toPandas()["fp"].to_numpy(np.int64) if levels else np.zeros(0, np.int64)
     tree = VPTree(sample.view(np.uint64), levels)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            points = rows.column(0).to_numpy().view(np.uint64)
-            for at in range(0, len(points), 4096):
-                part = points[at : at + 4096]
-                i, node, own = tree.route(part, reach)
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(own), pa.array(part[i].view(np.int64))], names=["shard", "own", "fp"])
-
-    routed = distinct.select("fp").mapInArrow(route, "shard long, own boolean, fp long")
-    return routed.repartition("shard").sortWithinPartitions("shard", F.col("own").desc()).mapInArrow(_links(reach), "a long, b long")
-
-
-def grouped(docs: DataFrame, shingle: int = SHINGLE, reach: int = RADIUS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, mark, fp, component_id (the smallest id that its links reach, itself included)."""
-    prints = cut(fingerprints(docs, shingle, doc_id, text), "fingerprints")
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    roots = cut(components(links(distinct, reach)), "roots")
-    rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+            for at in range(0, rows.num_rows, 4096):
+                part = rows.slice(at, 4096)
+                i, shards, own = tree.route(part.column(0).to_numpy().view(np.uint64), views[0].reach)
+                yield pa.RecordBatch.from_arrays([pa.array(shards), pa.array(own), *[c.take(pa.array(i)) for c in part.columns]], names=["shard", "own", "fp", "rest", "node"])
+
+    routed = distinct.select("fp", "rest", "node").mapInArrow(route, "shard long, own boolean, fp long, rest binary, node long")
+    return routed.repartition("shard").sortWithinPartitions("shard", F.col("own").desc()).mapInArrow(_forests(views), "a long, b long")
+
+
+def grouped(docs: DataFrame, views: tuple[View, ...] = LINKED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, mark, fp, component_id (the smallest id that its links reach, itself included).
+
+    With one view a node is its fingerprint; with more, a 64-bit hash of all views.
+    """
+    prints = fingerprints(docs, views, doc_id, text)
+    prints = cut(prints.withColumn("node", F.col("fp") if len(views) == 1 else F.xxhash64("fp", "rest")), "fingerprints")
+    distinct = cut(prints.groupBy("node", "fp", "rest").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    roots = cut(components(links(distinct, views)).withColumnRenamed("node", "member"), "roots")
+    rooted = distinct.join(roots, F.col("node") == F.col("member"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     smallest = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "components")
-    by_print = cut(rooted.join(smallest, "root").select("fp", "component_id"), "component-of-fingerprint")
-    return prints.join(by_print, "fp").select("doc_id", "mark", "fp", "component_id")
+    by_node = cut(rooted.join(smallest, "root").select("node", "component_id"), "component-of-fingerprint")
+    return prints.select("doc_id", "mark", "fp", "node").join(by_node, "node").select("doc_id", "mark", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, shingle: int = SHINGLE, reach: int = RADIUS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, views: tuple[View, ...] = SIMILAR, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that stay, all columns as they are: of each group the document with the smallest id.
 
     Rows without an id go where their group has an id, and stay where it has none.
     """
-    decided = grouped(docs, shingle, reach, doc_id, text)
+    decided = grouped(docs, views, doc_id, text)
     return keep_rows(docs, decided.select("doc_id", "mark", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")), doc_id, text)
