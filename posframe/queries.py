@@ -219,7 +219,7 @@ def product_fold(nation):
     return agg.fold(nation, ["n_regionkey"], ("product", c("n_nationkey") + 1, "p"))
 
 
-@query("select user_id, round(list_reduce(list(value order by event_id), (a, x) -> a*0.5 + x), 4) as s from events group by 1", "events")
+@query("select user_id, round(list_reduce(list(value order by event_id), lambda a, x: a*0.5 + x), 4) as s from events group by 1", "events")
 def general_fold(events):
     lists = agg.fold(events, ["user_id"], ("list", "value", "l"), pos="event_id")
     decayed = agg.general_fold(F.slice("l", F.lit(2), F.size("l")), lambda a, x: a * 0.5 + x, F.get("l", F.lit(0)))
@@ -406,7 +406,7 @@ def divide_by_zero(events):
     return events.select("event_id", arith.divide(c("value"), c("event_id") % 4).alias("q"))
 
 
-@query("select p_partkey, left(rpad(p_name,8,' '),8) as a, right(lpad(p_name,greatest(8,length(p_name)),' '),8) as b, upper(p_name) as u from part", "part")
+@query("select p_partkey, left(rpad(p_name,8,' '),8) as a, right(lpad(p_name,greatest(8,length(p_name))::integer,' '),8) as b, upper(p_name) as u from part", "part")
 def pad_case(part):
     name = c("p_name")
     return part.select("p_partkey", text.pad(name, 8).alias("a"), text.pad(name, -8).alias("b"), text.upper(name).alias("u"))
@@ -450,7 +450,7 @@ def cast_parse(events):
     return events.select("event_id", arith.cast(F.concat(F.substring("event_type", 1, 1), c("event_id").cast("string")), "bigint").alias("bad"), arith.cast(text.fmt(c("event_id")), "bigint").alias("good"))
 
 
-@query("select o_orderkey, list_sum(list_transform(string_split(o_orderkey::varchar, ''), x -> x::bigint))::bigint as s from orders", "orders")
+@query("select o_orderkey, list_sum(list_transform(string_split(o_orderkey::varchar, ''), lambda x: x::bigint))::bigint as s from orders", "orders")
 def digit_fold(orders):
     return orders.select("o_orderkey", F.aggregate(arith.digits(c("o_orderkey"), 10), F.lit(0).cast("bigint"), lambda s, d: s + d).alias("s"))
 
