@@ -52,8 +52,9 @@ class View:
 LINKED = (View(3, 2),)
 #: A text whose five-word shingles are similar to 0.8 or more, as near as 256 bits can tell.
 SIMILAR = (View(1, 5), View(5, 45, 256))
-#: Fingerprints a shard should own, the most levels of the tree, and the sample's fingerprints for each shard.
-SHARD, LEVELS, PER_SHARD = 4096, 16, 16
+#: Fingerprints a shard should own, the most levels of the tree, and the sample's fingerprints for each shard. Each level
+#: multiplies the visitors, by more the wider the reach; inside a shard a level costs no shuffle, so shards are large.
+SHARD, LEVELS, PER_SHARD = 1 << 15, 16, 64
 #: Comparisons made at once.
 BLOCK = 1 << 18
 
@@ -139,11 +140,16 @@ class VPTree:
         self._fit(points[d > radius], 2 * node + 1)
 
     def route(self, points: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(index of the point, shard, whether the shard owns it), for every shard within reach of the point."""
+        """(index of the point, shard, whether the shard owns it), for the shards that a point must meet.
+
+        A pair within reach that a node separates is found once: its left point goes right as a visitor, and from then
+        on to every side within reach; points that a node owns on its right do not come back left.
+        """
         at, node, own = np.arange(len(points)), np.ones(len(points), np.int64), np.ones(len(points), bool)
         for _ in range(self.levels):
             d, radius = _distances(points[at], self.vantage[node]), self.radius[node]
-            left, right, inside = d - reach <= radius, d + reach > radius, d <= radius
+            inside = d <= radius
+            left, right = inside | ~own & (d - reach <= radius), ~inside | (d + reach > radius)
             at, node, own = np.concatenate([at[left], at[right]]), np.concatenate([2 * node[left], 2 * node[right] + 1]), np.concatenate([(own & inside)[left], (own & ~inside)[right]])
         return at, node, own
 
