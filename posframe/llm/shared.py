@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -34,9 +35,23 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dir()
 
 
+#: Bounds of an Arrow batch that goes to a Python worker.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Give this package to the Python workers of the session's executors, once per application."""
+    """Give this package to the Python workers of the session's executors, once per application.
+
+    Batches are bounded by bytes as well as by rows from then on, in the whole session: a batch of 10,000 texts of any
+    length, which is the default, would be held by the JVM and the worker at once.
+    """
     _ship(spark.sparkContext.applicationId, spark.sparkContext)
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key, None)
+        size = re.match(r"\d+$", now or "")
+        if size is None or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 _shipped: set[str] = set()
