@@ -2,8 +2,10 @@
 
 Every source's documents stand in a queue in shuffled order, one queue behind the other for each repeat. A document's
 virtual finish time is the cumulative count of its source's words, itself included, divided by the source's target. The
-mix is all documents in the order of finish times (a range sort), cut where their words reach the total budget: whole
-documents only, so each source ends within one document of its target.
+mix is all documents in the order of finish times (a range sort), cut where their words reach the total budget. As the
+targets add up to the budget, it is spent at virtual time 1: documents then in service, one per source at most, are cut to
+the words that their source has left, so that one long document cannot hand its share to other sources. Where whole
+documents are wanted (`mixed`), such a document is in if at least half of it is.
 
 A source of a third of the corpus is no hot key: cumulative counts are taken in blocks of the shuffled order, and block
 offsets come from block totals.
@@ -105,16 +107,23 @@ def _last_turn(ordered: DataFrame, budget: float):
 
 
 def planned(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, repeats: int = 2, seed: int = 17, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """One row per document: doc_id, source, place (its random place), size, source_size, target, taken, times."""
+    """One row per document: doc_id, source, place (its random place), size, source_size, target, taken, times.
+
+    taken: the words that the mix takes, repeats counted; times: how often it takes the document as a whole.
+    """
     queued, budget, rows = _queued(docs, {"doc_id": doc_id, "text": text, "source": source}, weights, share, repeats, seed)
     last = _last_turn(in_order(queued, rows, repeats), budget)
-    times = F.lit(0)
+    taken, times = F.lit(0).cast("long"), F.lit(0)
     if last is not None:
         kind = queued.schema["doc_id"].dataType
         end = F.struct(F.lit(float(last["finish"])).alias("finish"), F.lit(last["place"]).cast("long").alias("place"), F.lit(last["id"]).cast(kind).alias("id"), F.lit(last["repeat"]).alias("repeat"))
+        served = (F.col("size") > 0) & (F.col("target") > 0)
         for repeat in range(repeats):
-            times = times + F.when((F.col("size") > 0) & (F.col("target") > 0) & (_turn(repeat) <= end), 1).otherwise(0)
-    return queued.withColumn("times", times.cast("int")).select("doc_id", "source", "place", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times")
+            finish = F.lit(repeat) * F.col("source_size") + F.col("upto")
+            left = F.floor(F.col("target") - (finish - F.col("size"))).cast("long")
+            words = F.when(served & (_turn(repeat) <= end) & (finish <= F.col("target")), F.col("size")).when(served & (left > 0), F.least(left, "size")).otherwise(F.lit(0))
+            taken, times = taken + words, times + F.when(served & (words * 2 >= F.col("size")), 1).otherwise(0)
+    return queued.select("doc_id", "source", "place", "size", "source_size", "target", taken.cast("long").alias("taken"), times.cast("int").alias("times"))
 
 
 def mixed(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, repeats: int = 2, seed: int = 17, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
