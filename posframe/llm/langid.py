@@ -11,8 +11,8 @@ priors, a written table, are joined so that adaptive execution can split its row
 
 Defined results
 ---------------
-* Null or empty text, or one shorter than a trigram, is no evidence: priors and declaration decide; without either the
-  language is `und` and the row is rejected.
+* Null or empty text, or one shorter than a trigram, is no evidence: the declaration and the priors decide; where nothing
+  known is declared either, the language is `und` and the row is rejected, as priors alone tell nothing of a row.
 * Null host or suffix is a group of its own; a null or unknown declaration is no evidence.
 * Null ids, repeated rows and ties: every row is judged by itself; of equal posteriors the first language in order wins.
 * An empty table gives an empty result; other columns are neither read nor in the way.
@@ -138,8 +138,12 @@ def _scored(rows: DataFrame, models: TrigramModels) -> DataFrame:
     return given.mapInArrow(run, f"doc_id long, mark long, host string, suffix string, declared string, n_trigrams long, {', '.join(n + ' double' for n in names)}")
 
 
+def _greatest(columns: list[Column]) -> Column:
+    return F.greatest(*columns) if len(columns) > 1 else columns[0]
+
+
 def _posterior(logs: list[Column]) -> list[Column]:
-    top = F.greatest(*logs)
+    top = _greatest(logs)
     weights = [F.exp(x - top) for x in logs]
     total = sum(weights[1:], weights[0])
     return [w / total for w in weights]
@@ -163,7 +167,7 @@ def identified(rows: DataFrame, models: TrigramModels) -> DataFrame:
     priors = cut(joined.select(F.col("suffix").alias("of_suffix"), F.col("host").alias("of_host"), "n", *[f"s{i}" for i in k], *[u.alias(f"u{i}") for i, u in enumerate(upper)]), "priors")
     met = scored.join(priors, F.col("suffix").eqNullSafe(F.col("of_suffix")) & F.col("host").eqNullSafe(F.col("of_host")))
     prior = [(F.greatest(F.col(f"s{i}") - F.col(f"p{i}"), F.lit(0.0)) + HOST_STRENGTH * F.col(f"u{i}")) / (F.col("n") - 1 + HOST_STRENGTH) for i in k]
-    known = F.col("declared").isin(*[x for x in models.languages if x != UND]) if len(models.languages) > 1 else F.lit(False)
+    known = F.coalesce(F.col("declared").isin(*[x for x in models.languages if x != UND]), F.lit(False)) if len(models.languages) > 1 else F.lit(False)
     others = math.log((1 - DECLARED_BELIEF) / max(1, len(models.languages) - 1))
     said = [F.when(known, F.when(F.col("declared") == name, math.log(DECLARED_BELIEF)).otherwise(others)).otherwise(0.0) for name in models.languages]
     met = met.select("*", *[q.alias(f"q{i}") for i, q in enumerate(prior)])
@@ -171,9 +175,9 @@ def identified(rows: DataFrame, models: TrigramModels) -> DataFrame:
 
     def best(prefix: str) -> Column:
         """The (probability, language, host share) with the highest probability, the first of equal ones."""
-        return F.greatest(*[F.struct(F.col(f"{prefix}{i}").alias("p"), F.lit(-i).alias("i"), F.lit(models.languages[i]).alias("lang"), F.col(f"q{i}").alias("share")) for i in k])
+        return _greatest([F.struct(F.col(f"{prefix}{i}").alias("p"), F.lit(-i).alias("i"), F.lit(models.languages[i]).alias("lang"), F.col(f"q{i}").alias("share")) for i in k])
 
-    silent = (F.col("n_trigrams") == 0) & ~known & F.lit(True)
+    silent = (F.col("n_trigrams") == 0) & ~known
     out = fused.select("doc_id", "mark", best("f").alias("f"), best("p").alias("p"), "n_trigrams", silent.alias("silent"))
     return out.select("doc_id", "mark", F.when(F.col("silent"), UND).otherwise(F.col("f.lang")).alias("lang"), F.col("f.p").alias("probability"), F.when(F.col("n_trigrams") > 0, F.col("p.lang")).otherwise(UND).alias("text_lang"), "n_trigrams", F.col("f.share").alias("host_share"))
 
