@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, fresh
 
 BITS, STEP = 60, 8
 SHARD_BYTES = 1 << 20
@@ -69,7 +69,7 @@ def shards(rows: DataFrame) -> DataFrame:
 
 
 def write(docs: DataFrame, path: str, limit: int = SHARD_BYTES, doc_id: str = "doc_id", text: str = "text") -> None:
-    """Write docs as Parquet, a folder per shard, all columns as they are; the texts are dealt out by shard once."""
-    keys = sharded(docs, limit, doc_id, text).select(F.col("doc_id").alias("_shard_id"), "shard").distinct()
-    joined = docs.join(keys, docs[doc_id].eqNullSafe(keys["_shard_id"])).drop("_shard_id")
-    joined.withColumn("shard", F.concat(F.lit("b"), "shard")).repartition("shard").write.partitionBy("shard").parquet(path)
+    """Write docs as Parquet, a folder b<prefix> per shard, all columns as they are; texts are dealt out by shard once."""
+    key, shard = fresh(docs, "shard_id", "shard")
+    keys = sharded(docs, limit, doc_id, text).select(F.col("doc_id").alias(key), F.concat(F.lit("b"), "shard").alias(shard)).distinct()
+    docs.join(keys, docs[doc_id].eqNullSafe(keys[key])).drop(key).repartition(shard).write.partitionBy(shard).parquet(path)
