@@ -35,6 +35,11 @@ def dot(x: C, y: C) -> C:
     return F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
+def let(value: C, f) -> C:
+    """f of a value that is computed once, however often f names it, also inside the functions of array expressions."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def total(x: C) -> C:
     return F.aggregate(x, F.lit(0.0), lambda s, v: s + v.cast("double"))
 
@@ -50,7 +55,7 @@ def length(x: C) -> C:
 
 def normalize(x: C) -> C:
     """M11"""
-    return F.transform(x, lambda v: v / length(x))
+    return let(length(x), lambda n: F.transform(x, lambda v: v / n))
 
 
 def cross(x: C, y: C) -> C:
@@ -86,14 +91,14 @@ def glu(x: C) -> C:
 
 def softmax(x: C) -> C:
     """L5, shifted by the maximum."""
-    e = F.transform(x, lambda v: F.exp(v.cast("double") - F.array_max(x).cast("double")))
-    return F.transform(e, lambda v: v / total(e))
+    e = let(F.array_max(x).cast("double"), lambda top: F.transform(x, lambda v: F.exp(v.cast("double") - top)))
+    return let(e, lambda y: let(total(y), lambda n: F.transform(y, lambda v: v / n)))
 
 
 def layernorm(x: C, epsilon: float = 1e-5) -> C:
     """To mean 0 and variance 1."""
-    centred = F.transform(x, lambda v: v.cast("double") - mean(x))
-    return F.transform(centred, lambda v: v / F.sqrt(dot(centred, centred) / F.size(x) + epsilon))
+    centred = let(mean(x), lambda m: F.transform(x, lambda v: v.cast("double") - m))
+    return let(centred, lambda y: let(F.sqrt(dot(y, y) / F.size(y) + epsilon), lambda s: F.transform(y, lambda v: v / s)))
 
 
 def linear(x: C, weights: list[list[float]], bias: list[float]) -> C:

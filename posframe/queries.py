@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +14,12 @@ from pyspark.sql import functions as F
 
 from .ecs import World
 from .functions import arith, cells, hashes, numeric, text
-from .model import Keyed
+from .lang import Session
+from .model import Keyed, vec
 from .operators import aggregate as agg
 from .operators import iterate, join, position, project, sets, sort, window
+from .sources import generate
+from .streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -492,6 +497,215 @@ def ecs_tick(events):
     return world.get("event_id", "px")
 
 
+# ---------------------------------------------------------------- sources, dictionaries, cells
+
+
+@query("select i::bigint as a, j::bigint as b, (i*5+j)::bigint as pos from range(0,4) r(i), range(0,5) s(j)", "region")
+def odometer(region):
+    grid = generate.odometer(region.sparkSession, 4, 5)
+    return grid.select(c("d0").cast("bigint").alias("a"), c("d1").cast("bigint").alias("b"), c("_pos").alias("pos"))
+
+
+@query("select i::bigint as i, j::bigint as j, (i=j)::integer as v from range(0,6) r(i), range(0,6) s(j)", "region")
+def unit_matrix(region):
+    rows = generate.unit(region.sparkSession, 6)
+    return rows.select(c("_pos").alias("i"), F.posexplode("v").alias("j", "v")).select("i", c("j").cast("bigint").alias("j"), "v")
+
+
+@query("select k, n_name as v from (values (3),(99),(0)) t(k) left join nation on n_nationkey=k", "nation")
+def take_keys(nation):
+    d = nation.select(c("n_nationkey").alias("k"), c("n_name").alias("v"), c("n_nationkey").cast("bigint").alias("_pos"))
+    return project.take_keys(d, vec(nation.sparkSession, [3, 99, 0], "int")).select("k", "v")
+
+
+@query("select n_nationkey as k from nation where n_regionkey<>2", "nation")
+def drop_keys(nation):
+    d = nation.select(c("n_nationkey").alias("k"), c("n_name").alias("v"), c("n_nationkey").cast("bigint").alias("_pos"))
+    return project.drop_keys(d, nation.filter("n_regionkey = 2").select(c("n_nationkey").alias("v"))).select("k")
+
+
+@query("select coalesce(b.k, a.k) as k, coalesce(b.v, a.v) as v from (select n_nationkey as k, n_name as v from nation where n_nationkey<15) a full join (select n_nationkey as k, upper(n_name)||'!' as v from nation where n_nationkey>=10) b on a.k=b.k", "nation")
+def merge_dictionaries(nation):
+    rows = nation.select(c("n_nationkey").alias("k"), c("n_name").alias("v"), c("n_nationkey").cast("bigint").alias("_pos"))
+    right = rows.filter("k >= 10").withColumns({"v": F.concat(text.upper(c("v")), F.lit("!")), "_pos": c("_pos") - 10})
+    return join.merge(rows.filter("k < 15"), right).select("k", "v")
+
+
+@query("select n_regionkey as v, string_agg(n_name, ',' order by n_nationkey) as k from nation group by 1", "nation")
+def group_dictionary(nation):
+    d = nation.select(c("n_name").alias("k"), c("n_regionkey").alias("v"), c("n_nationkey").cast("bigint").alias("_pos"))
+    return agg.group_dict(d).select("v", F.array_join("k", ",").alias("k"))
+
+
+@query("select r_name as k, string_agg(n_name, ',' order by n_nationkey) as v from nation join region on n_regionkey=r_regionkey group by 1", "nation", "region")
+def map_through(nation, region):
+    d = nation.join(region, c("n_regionkey") == c("r_regionkey")).select(c("r_name").alias("k"), c("n_nationkey").cast("bigint").alias("v"), c("n_nationkey").cast("bigint").alias("_pos"))
+    names = nation.select(c("n_nationkey").cast("bigint").alias("_pos"), c("n_name").alias("v"))
+    return project.map_through(d, names).select("k", F.array_join("v", ",").alias("v"))
+
+
+@query("select 'n_regionkey' as k, string_agg(n_regionkey::varchar, ',' order by n_nationkey) as v from nation union all select 'n_nationkey', string_agg(n_nationkey::varchar, ',' order by n_nationkey) from nation", "nation")
+def flip_table(nation):
+    t = nation.select("n_nationkey", "n_regionkey", c("n_nationkey").cast("bigint").alias("_pos"))
+    return project.flip(t).select("k", F.array_join(c("v").cast("array<string>"), ",").alias("v"))
+
+
+@query("select case when event_id<3 then event_id when event_id<8 then null else event_id-3 end as pos, event_id from events where event_id<3 or event_id>=8 union all select 3, -1 union all select 4, -2", "events")
+def splice(events):
+    rows = events.select("event_id", c("event_id").alias("_pos"))
+    other = vec(events.sparkSession, [-1, -2], "bigint").withColumnRenamed("v", "event_id")
+    return position.splice(rows, 3, 8, other).select(c("_pos").alias("pos"), "event_id")
+
+
+@query("select vec_id, round(embedding[1]::double,6) as a, round(-2*embedding[2]::double,6) as b from embeddings", "embeddings")
+def drill_update(embeddings):
+    cells_ = embeddings.select("vec_id", project.drill(c("embedding").cast("array<double>"), [1], lambda x: x * -2).alias("e"))
+    return cells_.select("vec_id", F.round(F.get("e", F.lit(0)), 6).alias("a"), F.round(F.get("e", F.lit(1)), 6).alias("b"))
+
+
+@query("select event_id, event_type, value from events where event_id in (7, 3) union all select event_id, event_type, value from events where event_id=7", "events")
+def index_rows(events):
+    rows = events.select("event_id", "event_type", "value", c("event_id").alias("_pos"))
+    return position.at(rows, vec(events.sparkSession, [7, 3, 7], "bigint")).select("event_id", "event_type", "value")
+
+
+@query("select user_id, string_agg(w, ' ' order by event_id, i) as r from (select user_id, event_id, i, string_split(event_type, '_')[i] as w from events, range(1,9) t(i) where i<=len(string_split(event_type, '_'))) group by 1", "events")
+def raze(events):
+    made = agg.fold(events, ["user_id"], ("raze", text.split(c("event_type"), "_"), "r"), pos="event_id")
+    return made.select("user_id", F.array_join("r", " ").alias("r"))
+
+
+@query("select p_partkey, instr(p_name,'e')-1 + (case when instr(p_name,'e')=0 then 1+length(p_name) else 0 end) as at, lpad(p_partkey::varchar,8,'0') as z, reverse(p_name) as r from part", "part")
+def text_places(part):
+    return part.select("p_partkey", text.index_of(c("p_name"), "e").cast("bigint").alias("at"), text.zeros(c("p_partkey"), 8).alias("z"), F.reverse("p_name").alias("r"))
+
+
+@query("select n_nationkey, factorial(n_nationkey % 10)::bigint as f, (factorial(n_nationkey)/(factorial(2)*factorial(n_nationkey-2)))::bigint as ch from nation where n_nationkey>=2", "nation")
+def combinatorics(nation):
+    n = c("n_nationkey")
+    return nation.filter("n_nationkey >= 2").select("n_nationkey", F.factorial(n % 10).alias("f"), arith.choose(n, F.lit(2)).alias("ch"))
+
+
+@query("with recursive f as (select 0 as n, 0::bigint as a, 1::bigint as b union all select n+1, b, a+b from f where n<24) select n_nationkey, a as fib from nation join f on n_nationkey=n", "nation")
+def fibonacci(nation):
+    return nation.select("n_nationkey", arith.fibonacci(c("n_nationkey")).alias("fib"))
+
+
+@query("select a.n_nationkey as a, b.n_nationkey as b, c.n_nationkey as c from nation a, nation b, nation c where a.n_regionkey=1 and b.n_regionkey=1 and c.n_regionkey=1 and a.n_nationkey<b.n_nationkey and b.n_nationkey<c.n_nationkey", "nation")
+def combinations(nation):
+    some = nation.filter("n_regionkey = 1").select("n_nationkey", c("n_nationkey").cast("bigint").alias("_pos"))
+    made = sets.combinations(some, "n_nationkey", 3)
+    return made.select(*[F.get("c", F.lit(i)).alias(n) for i, n in enumerate("abc")])
+
+
+@query("select event_id, least(greatest(value, 10), 50) as cl, round(value - floor(value), 4) as fr, sign(value-50)::double as sg, round(tanh(value/100),6) as th from events", "events")
+def clamp_mix(events):
+    x = c("value")
+    return events.select("event_id", arith.clamp(x, F.lit(10.0), F.lit(50.0)).alias("cl"), F.round(arith.fract(x), 4).alias("fr"), F.signum(x - 50).alias("sg"), F.round(F.tanh(x / 100), 6).alias("th"))
+
+
+@query("select g.i % 7 as g, j as j, round(sum(x),4) as v from (select vec_id, unnest(embedding)::double as x, generate_subscripts(embedding,1)-1 as j from embeddings) e join (select i from range(0,100) r(i)) g on g.i=vec_id group by 1,2", "embeddings")
+def gather_reduce(embeddings):
+    rows = numeric.long_form(embeddings, "vec_id", "embedding")
+    wanted = embeddings.filter("vec_id < 100").select((c("vec_id") % 7).alias("g"), c("vec_id").alias("i"))
+    return numeric.gather_reduce(wanted, rows).select("g", "j", F.round("v", 4).alias("v"))
+
+
+@query("with e as (select vec_id, unnest(embedding)::double as x from embeddings), m as (select vec_id, avg(x) as mu, sqrt(var_pop(x)+1e-5) as sd from e group by 1) select vec_id, round(max((x-mu)/sd),5) as hi, round(min((x-mu)/sd),5) as lo from e join m using (vec_id) group by 1", "embeddings")
+def layernorm(embeddings):
+    normed = embeddings.select("vec_id", numeric.layernorm(c("embedding")).alias("y"))
+    return normed.select("vec_id", F.round(F.array_max("y"), 5).alias("hi"), F.round(F.array_min("y"), 5).alias("lo"))
+
+
+@query("with e as (select vec_id, unnest(embedding)::double as x from embeddings) select vec_id, round(sum(x),5) as re0, round(sqrt(sum(x*x))*8,4) as energy from e group by 1", "embeddings")
+def fourier(embeddings):
+    """By Parseval, the transform of 64 numbers has 64 times their energy."""
+    spectrum = embeddings.select("vec_id", numeric.fft(c("embedding").cast("array<double>")).alias("f"))
+    return spectrum.select("vec_id", F.round(F.get("f", F.lit(0)), 5).alias("re0"), F.round(numeric.length(c("f")), 4).alias("energy"))
+
+
+@query("select word, count(*)::bigint as n from (select unnest(string_split(regexp_replace(lower(p_name), '[ ]+', ' ', 'g'), ' ')) as word from part) where word<>'' group by 1", "part")
+def inverted_index(part):
+    return agg.freq(text.postings(part, "p_partkey", "p_name"), "term").withColumnRenamed("term", "word")
+
+
+@query("select c_custkey, crc as crc from (select c_custkey, c_name as crc from customer)", "customer")
+def compress_round_trip(customer):
+    packed = customer.select("c_custkey", hashes.compress(c("c_name"), "gzip").alias("z"))
+    return packed.select("c_custkey", hashes.decompress(c("z"), "gzip").cast("string").alias("crc"))
+
+
+# ---------------------------------------------------------------- the language
+
+
+def session(spark: SparkSession, sf_dir: str, *tables: tuple[str, str, str | None]) -> Session:
+    s = Session(spark)
+    for name, of, pos in tables:
+        s.table(name, table(spark, sf_dir, of), pos=pos)
+    return s
+
+
+def program(sql: str, source: str, *tables: tuple[str, str, str | None], rename: dict[str, str] | None = None):
+    """Register a program of the language; its value is a table or a dictionary (k, v)."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        value = session(spark, sf_dir, *tables)(source)
+        df = value.df if hasattr(value, "keys") else value.df.select(*value.names)
+        return df.withColumnsRenamed(rename or {})
+
+    return run
+
+
+EVENTS, ORDERS = ("t", "events", "event_id"), ("o", "orders", "o_orderkey")
+for _name, _sql, _source, _tables, _rename in (
+    ("lang_filter", "select * from events where value>100", "t@&t.value>100", (EVENTS,), {}),
+    ("lang_grouped_fold", "select event_type as k, sum(value) as v from events group by 1", "(+/)'t.value@=t.event_type", (EVENTS,), {}),
+    ("lang_freq", "select event_type as k, count(*) as v from events group by 1", "#'=t.event_type", (EVENTS,), {}),
+    ("lang_top_k", "select * from orders order by o_totalprice desc, o_orderkey limit 10", "o@10#>o.o_totalprice", (ORDERS,), {}),
+    ("lang_weighted_mean", "select event_type as k, sum(value*user_id)/sum(user_id) as v from events group by 1", "{(+/x)%+/t.user_id}'(t.value*t.user_id)@=t.event_type", (EVENTS,), {}),
+):
+    QUERIES[_name] = program(_sql, _source, *_tables, rename=_rename)
+    SQL[_name] = _sql
+
+
+# ---------------------------------------------------------------- streams
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a pattern: the table may be one file, and a stream's plain path must be a folder
+    return streams.listen(spark, f"{sf_dir}/event[s].parquet", table(spark, sf_dir, "events").schema)
+
+
+def _folder(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="posframe-stream-")
+    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as messages, each batch put into a keyed table: the last event of each user."""
+    folder = _folder(spark)
+    store = streams.KeyedStore(spark, f"{folder}/store", "user_id", "user_id bigint, event_id bigint, event_type string")
+    stream = _streamed(spark, sf_dir).select("user_id", "event_id", "event_type")
+    streams.on_message(stream, lambda batch, n: store.upsert(batch, n, "event_id"), f"{folder}/checkpoint").awaitTermination()
+    return store.table()
+
+
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extension: hourly counts and sums in event time, written by a streaming query as each batch's complete result."""
+    folder = _folder(spark)
+    made = streams.tumbling(_streamed(spark, sf_dir).withColumn("ts", c("ts").cast("timestamp")), "ts", "1 hour", ["event_type"], F.count("*").alias("n"), F.sum("value").alias("s"))
+    rows = made.select(c("window.start").alias("hour"), "event_type", "n", F.round("s", 2).alias("s"))
+    query_ = rows.writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint")
+    query_.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out")).start().awaitTermination()
+    return spark.read.schema("hour timestamp, event_type string, n bigint, s double").parquet(f"{folder}/out").withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH:mm:ss"))
+
+
+QUERIES["stream_upsert"] = stream_upsert
+SQL["stream_upsert"] = "select user_id, max(event_id) as event_id, arg_max(event_type, event_id) as event_type from events group by 1"
+QUERIES["stream_windows"] = stream_windows
+SQL["stream_windows"] = "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as hour, event_type, count(*) as n, round(sum(value),2) as s from events group by 1,2"
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Revenue of the ten best market segments and statuses: a projection, a filter, two lookups, a grouped fold and top-k."""
     lineitem = project.amend(table(spark, sf_dir, "lineitem"), {"rev": c("l_extendedprice") * (1 - c("l_discount"))})

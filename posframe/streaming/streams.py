@@ -13,13 +13,14 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
 
 from ..model import Keyed
 from ..operators import join
 
 
-def listen(spark: SparkSession, path: str, schema: str, format_: str = "parquet", files_per_batch: int | None = None) -> DataFrame:
+def listen(spark: SparkSession, path: str, schema: str | StructType, format_: str = "parquet", files_per_batch: int | None = None) -> DataFrame:
     """A stream of the files that arrive in a folder."""
     reader = spark.readStream.format(format_).schema(schema)
     return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).load(path)
