@@ -708,16 +708,17 @@ SQL["stream_windows"] = "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Revenue of the ten best market segments and statuses: a projection, a filter, two lookups, a grouped fold and top-k."""
-    lineitem = project.amend(table(spark, sf_dir, "lineitem"), {"rev": c("l_extendedprice") * (1 - c("l_discount"))})
+    # decimal money: the sum does not depend on the order of its rows
+    lineitem = project.amend(table(spark, sf_dir, "lineitem"), {"rev": (c("l_extendedprice") * (1 - c("l_discount"))).cast("decimal(18,4)")})
     orders = table(spark, sf_dir, "orders").select(c("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderstatus")
     customer = table(spark, sf_dir, "customer").select(c("c_custkey").alias("o_custkey"), "c_mktsegment")
     items = project.filter_mask(lineitem, c("l_quantity") > 5).select("l_orderkey", "rev")
     joined = join.equi(join.equi(items, orders, "l_orderkey"), customer, "o_custkey")
     revenue = agg.fold(joined, ["c_mktsegment", "o_orderstatus"], ("sum", "rev", "revenue"), ("count", "rev", "items"))
-    return revenue.orderBy(c("revenue").desc(), "c_mktsegment", "o_orderstatus").limit(10).select("c_mktsegment", "o_orderstatus", F.round("revenue", 2).alias("revenue"), "items")
+    return revenue.orderBy(c("revenue").desc(), "c_mktsegment", "o_orderstatus").limit(10).select("c_mktsegment", "o_orderstatus", c("revenue").cast("double").alias("revenue"), "items")
 
 
 QUERIES["flagship"] = flagship
-SQL["flagship"] = """select c_mktsegment, o_orderstatus, round(sum(l_extendedprice*(1-l_discount)),2) as revenue, count(*) as items
+SQL["flagship"] = """select c_mktsegment, o_orderstatus, sum((l_extendedprice*(1-l_discount))::decimal(18,4))::double as revenue, count(*) as items
 from lineitem join orders on l_orderkey=o_orderkey join customer on o_custkey=c_custkey where l_quantity>5
-group by 1,2 order by sum(l_extendedprice*(1-l_discount)) desc, 1, 2 limit 10"""
+group by 1,2 order by revenue desc, 1, 2 limit 10"""
