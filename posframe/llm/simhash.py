@@ -55,8 +55,8 @@ SIMILAR = (View(1, 5), View(5, 165, 1024))
 #: Fingerprints a shard should own, the most levels of the tree, and the sample's fingerprints for each shard. Each level
 #: multiplies the visitors, by more the wider the reach; inside a shard a level costs no shuffle, so shards are large.
 SHARD, LEVELS, PER_SHARD = 1 << 15, 16, 64
-#: Comparisons made at once.
-BLOCK = 1 << 18
+#: Comparisons made at once, and points of a shard that all others meet first.
+BLOCK, LEADERS = 1 << 18, 64
 
 
 def _mixed(hashes: np.ndarray, salt: int) -> np.ndarray:
@@ -221,7 +221,7 @@ class Points:
     def joined(cls, parts: list[Points]) -> Points:
         return cls(*(np.concatenate([getattr(p, k) for p in parts]) for k in ("fp", "rest", "node")))
 
-    def __getitem__(self, at: slice) -> Points:
+    def __getitem__(self, at: slice | np.ndarray) -> Points:
         return Points(self.fp[at], self.rest[at], self.node[at])
 
 
@@ -238,22 +238,61 @@ def linked(queries: Points, members: Points, views: tuple[View, ...]) -> Iterato
 
 
 class _Shard:
-    """The owners of a shard; gives a spanning forest of the links of owners and of visitors with owners."""
+    """The owners of a shard; gives a spanning forest of the links of owners and of visitors with owners.
+
+    A link inside a component adds nothing to the forest. So points first meet a few leaders; a component that this shows
+    to be large is then searched against everything outside it, but not against itself: a template with a million edited
+    copies costs a pass over them, not their square.
+    """
 
     def __init__(self, owners: Points, views: tuple[View, ...]):
         self.owners, self.views, self.forest = owners, views, Forest(len(owners.fp))
+        self.large: list[tuple[np.ndarray, np.ndarray]] = []  # members, leaders
+        self.small = np.arange(len(owners.fp))
+
+    def _link(self, a: np.ndarray, b: np.ndarray) -> None:
+        for i, j in linked(self.owners[a], self.owners[b], self.views):
+            self.forest.link(a[i], b[j])
+
+    def _part(self) -> None:
+        """The large components with leaders of each, and all other owners."""
+        roots, n = self.forest.parent, len(self.owners.fp)
+        names, sizes = np.unique(roots, return_counts=True)
+        names = names[sizes >= max(LEADERS, n // LEADERS)]
+        self.large = [(m := np.flatnonzero(roots == name), m[:: max(1, len(m) // LEADERS)]) for name in names]
+        self.small = np.flatnonzero(~np.isin(roots, names))
 
     def own(self) -> tuple[np.ndarray, np.ndarray]:
-        for a, b in linked(self.owners, self.owners, self.views):
-            self.forest.link(a[a < b], b[a < b])
+        n = len(self.owners.fp)
+        if n > LEADERS:
+            self._link(np.arange(n), np.arange(0, n, n // LEADERS))
+        self._part()
+        outside = self.small
+        self._link(outside, outside)
+        for members, _ in self.large:
+            self._link(members, outside)
+            outside = np.concatenate([outside, members])
+        self._part()
         roots = self.forest.parent
-        far = roots != np.arange(len(roots))
+        far = roots != np.arange(n)
         return self.owners.node[far], self.owners.node[roots[far]]
 
+    def _met(self, visitors: Points, of: np.ndarray, owners: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Blocks of (visitor, root) for the visitors `of` that owners link."""
+        for q, m in linked(visitors[of], self.owners[owners], self.views):
+            once = np.unique(np.stack([of[q], self.forest.parent[owners[m]]]), axis=1)
+            yield once[0], once[1]
+
     def visit(self, visitors: Points) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for q, m in linked(visitors, self.owners, self.views):
-            once = np.unique(np.stack([q, self.forest.parent[m]]), axis=1)
-            yield visitors.node[once[0]], self.owners.node[once[1]]
+        everyone = np.arange(len(visitors.fp))
+        found = list(self._met(visitors, everyone, self.small)) if len(self.small) else []
+        for members, leaders in self.large:
+            met = list(self._met(visitors, everyone, leaders))
+            known = np.unique(np.concatenate([q for q, _ in met])) if met else everyone[:0]
+            found += met
+            found += self._met(visitors, np.setdiff1d(everyone, known, assume_unique=True), members)
+        for q, root in found:
+            yield visitors.node[q], self.owners.node[root]
 
 
 def _forests(views: tuple[View, ...]):

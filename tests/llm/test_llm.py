@@ -325,6 +325,30 @@ def test_links_of_many_shards(spark, reach):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, theirs.values()))
 
 
+def test_a_large_group_of_near_copies_is_not_squared(monkeypatch):
+    r = np.random.default_rng(4)
+    base = r.integers(0, 1 << 63, 17, dtype=np.uint64)
+    n, m = 6000, 3000
+    wide = base[1:] ^ (np.uint64(1) << r.integers(0, 64, (n + m, 16)).astype(np.uint64))  # 32 bits apart at most
+    far = r.integers(0, 1 << 63, (400, 16), dtype=np.uint64)
+    points = simhash.Points(np.concatenate([np.full(n + m, base[0]), r.integers(0, 1 << 63, 400, dtype=np.uint64)]), np.concatenate([wide, far]), np.arange(n + m + 400))
+    compared = []
+    near = simhash.near
+
+    def counted(q, members, reach):
+        for a, b in near(q, members, reach):
+            compared.append(len(a))
+            yield a, b
+
+    monkeypatch.setattr(simhash, "near", counted)
+    shard = simhash._Shard(points[np.r_[0:n, n + m : n + m + 400]], (simhash.View(1, 5), simhash.View(5, 165, 1024)))
+    a, b = shard.own()
+    assert len(a) == n - 1 and set(a) == set(range(1, n)) and set(b) == {0}
+    visits = [np.stack(x) for x in shard.visit(points[np.r_[n : n + m]])]
+    assert set(np.concatenate(visits, axis=1)[0]) == set(range(n, n + m)) and set(np.concatenate(visits, axis=1)[1]) == {0}
+    assert sum(compared) < 200 * (n + m)
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(170)] + [(1000, i) for i in range(1001, 1400)] + [(i, i + 1) for i in range(2000, 2100)]
