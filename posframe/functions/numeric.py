@@ -131,6 +131,22 @@ def rfft(x: C) -> C:
     return _on_cells(lambda v: np.fft.rfft(v).view(float), "array<double>", x)
 
 
+def fft2(x: C, columns: int) -> C:
+    """L3: the two-dimensional transform of a row-major cell: interleaved parts, row after row."""
+    return _on_cells(lambda v: np.fft.fft2(v.reshape(-1, columns)).ravel().view(float), "array<double>", x)
+
+
+def diagonal(x: C) -> C:
+    """L2: the square matrix, as rows, that has a vector on its diagonal."""
+    return F.transform(x, lambda v, i: F.transform(x, lambda _, j: F.when(i == j, v.cast("double")).otherwise(0.0)))
+
+
+def frames(x: C, size: int, hop: int, emphasis: float = 0.0) -> C:
+    """L4: full frames of a signal cell, each value less `emphasis` times the one before."""
+    shaped = F.transform(x, lambda v, i: v - F.when(i > 0, F.get(x, i - 1) * emphasis).otherwise(0.0)) if emphasis else x
+    return let(shaped, lambda y: F.when(F.size(y) >= size, F.transform(F.sequence(F.lit(0), F.size(y) - size, F.lit(hop)), lambda s: F.slice(y, s + 1, size))))
+
+
 def log_mel(x: C, rate: int, bands: int = 40, size: int = 400, hop: int = 160) -> C:
     """L4: log energies in mel bands of each frame of a signal cell, frame after frame."""
     hz = np.fft.rfftfreq(size, 1 / rate)

@@ -18,16 +18,12 @@ from ..sources.generate import literal
 from . import values as v
 from .lazy import Fold, Frame, Grouped, Groups, Mapping, Order, Places, Series, fold_groups
 from .parser import parse
-from .values import Dict, Fn, Sym
+from .values import Dict, Err, Fn, Sym
 
 LIMIT = 10_000
 SPARK = (Frame, Series, Fold, Places, Order, Groups, Grouped, Mapping)
 
 
-class Return(Exception):
-    pass
-
-
 # ------------------------------------------------------------------------------------------------ driver values
 
 MONADS = {
@@ -628,7 +624,22 @@ class Session:
         raise EngineError("value", name)
 
     def _verb(self, node):
-        return verb_fn(node[1])
+        made = verb_fn(node[1])
+        if node[1] != ".":
+            return made
+
+        def call(*args):
+            """`.s` a global by name, `.C` a program's value, or its error as a value."""
+            if len(args) == 1 and isinstance(args[0], Sym):
+                return self.globals[args[0]] if args[0] in self.globals else self._name(("name", str(args[0])))
+            if len(args) == 1 and isinstance(args[0], str):
+                try:
+                    return self(args[0])
+                except EngineError as e:
+                    return Err(e.kind)
+            return made.call(*args)
+
+        return Fn(call, 2, ".", made.mark)
 
     def _list(self, node):
         out = []

@@ -88,6 +88,26 @@ def scan(values: Column, f: Callable[[Column, Column], Column], seed: Column | N
     return F.slice(out, 2, F.greatest(F.size(out) - 1, F.lit(0))) if seed is not None else out
 
 
+def scan_groups(df: DataFrame, value: str, f: Callable[[float, float], float], out: str, *, keys: Sequence[str], seed: float | None = None, pos: str = POS) -> DataFrame:
+    """W2, W12 on a table: all results of a left fold of any Python function of two numbers, per key, in order of pos.
+
+    A group is one task's work and memory; without keys, or where the function is one of FOLDS, use `running`.
+    """
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group, held, results = group.sort_values(pos), seed, []
+        for x in group[value]:
+            held = float(x) if held is None else float(f(held, x))
+            results.append(held)
+        return group.assign(**{out: results})
+
+    return df.groupBy(*keys).applyInPandas(run, schema)
+
+
 def overlapping(values: Column, size: int, hop: int) -> Column:
     """Frames of `size` values, one every `hop`, from an array cell; only full ones."""
     starts = F.sequence(F.lit(0), F.size(values) - size, F.lit(hop))

@@ -20,7 +20,7 @@ GOLDEN = [
     ("3{x*2}/1", 8), ("1 2 3 in 2 5", [False, True, False]), ("x:1 2 3;x[1]:9;x", [1, 9, 3]), ("@[1 2 3;0 2;+;10]", [11, 2, 13]), ("?[1 2 3;1 2;7 8]", [1, 7, 8, 3]), ("7 mod -3", -2), ("-7 div 2", -4),
     ("1%0", INF), ("2 3#!6", [[0, 1, 2], [3, 4, 5]]), ("+(1 2;3 4)", [[1, 3], [2, 4]]), ("*|1 2 3", 3), ("5$\"abc\"", "abc  "), ("-5$\"abc\"", "  abc"), ("`I$\"12\"", 12), ("_2.7", 2),
     ("2 3^1 2 3 2", [1]), ("0^1 0N 3", [1, 0, 3]), ("+/'(1 2;3 4)", [3, 7]), ("1 2 3+/:10 20", [[11, 12, 13], [21, 22, 23]]), ("f:2+;f 3", 5), ("avg 1 2 3", 2.0), ("2147483647+1", -2147483648),
-    ("\"abc\"=\"abd\"", [True, True, False]), ("1 2 3 /a comment", [1, 2, 3]), ("2-1", 1), ("2 -1", [2, -1]), ("a:5;a-1", 4), ("1 2~1 2", True), ("&/1 0 2", 0), ("%2 3#0", [2, 3]), ("+/101b", 2),
+    ("\"abc\"=\"abd\"", [True, True, False]), ("1 2 3 /a comment", [1, 2, 3]), ("2-1", 1), ("2 -1", [2, -1]), ("a:5;a-1", 4), ("1 2~1 2", True), ("&/1 0 2", 0), ("%2 3#0", [2, 3]), ("+/101b", 2), (".\"1+2\"", 3), ("a:7;.`a", 7), ("@.\"1 2+1 2 3\"", Sym("!")),
 ]
 
 

@@ -352,6 +352,8 @@ def test_numeric(spark):
     assert np.allclose(low @ up, np.array([[0.0, 2.0], [1.0, 3.0]])[[int(p) for p in perm]])
     assert np.allclose(s(numeric.singular_values(lit(3.0, 0.0, 0.0, 4.0), 2)), [4, 3]) and s(numeric.condition(lit(3.0, 0.0, 0.0, 4.0), 2)) == pytest.approx(4 / 3)
     assert len(s(numeric.log_mel(F.transform(F.sequence(F.lit(1), F.lit(800)), lambda i: F.sin(i.cast("double"))), 8000, 10))) == 30
+    assert np.allclose(s(numeric.fft2(lit(*x), 2)), np.fft.fft2(np.reshape(x, (2, 2))).ravel().view(float))
+    assert s(numeric.diagonal(lit(1, 2))) == [[1.0, 0.0], [0.0, 2.0]] and s(numeric.frames(lit(1.0, 2.0, 3.0), 2, 1, 0.5)) == [[1.0, 1.5], [1.5, 2.0]]
     assert np.allclose(s(numeric.gelu(lit(1.0)))[0], 0.841192) and np.allclose(s(numeric.glu(lit(2.0, 0.0))), [1.0])
 
 
@@ -384,6 +386,25 @@ def test_world(spark):
         w.spawn(spark.createDataFrame([(3,)], "id int"))
 
 
+def test_user_functions(spark):
+    from posframe.functions import udf
+
+    df = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 2.0), ("b", 1, 5.0)], "k string, _pos bigint, v double")
+    twice = udf.vectorised(lambda x, y: x * 2 + y, "double")
+    assert sorted(r["o"] for r in df.select(twice(c("v"), c("_pos")).alias("o")).collect()) == [3.0, 6.0, 11.0]
+    spread = udf.folding(lambda x: x.max() - x.min())
+    assert {r["k"]: r["o"] for r in df.groupBy("k").agg(spread(c("v")).alias("o")).collect()} == {"a": 1.0, "b": 0.0}
+    udf.registered(spark, "plus_one", lambda x: x + 1, "double")
+    assert spark.sql("select plus_one(2.0D) x").first()["x"] == 3.0
+    assert udf.rows_to_rows(df, lambda p: p[p.v > 1][["k"]], "k string").count() == 2
+    assert udf.train(lambda x: x + 1, lambda x: x * 2)(5) == 11 and udf.projection(lambda a, b: a - b, b=2)(5) == 3
+    assert udf.pipeline(df, [lambda t: t.filter("v > 1"), lambda t: t.select("k")]).count() == 2
+    with pytest.raises(EngineError):
+        twice(*[c("v")] * 17)
+    got = window.scan_groups(df, "v", lambda a, b: a * 10 + b, "o", keys=["k"]).orderBy("k", "_pos").collect()
+    assert [r["o"] for r in got] == [1.0, 12.0, 5.0]
+
+
 def test_zero(spark):
     from pyspark.sql import types as T
 
