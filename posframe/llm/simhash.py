@@ -28,6 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -81,17 +82,15 @@ def fingerprint(text: bytes, shingle: int = 3, bits: int = 64, seed: int = 42) -
     words = text.lower().split()  # of bytes: A-Z, and ASCII white space
     if not words:
         return bytes(bits // 8)
-    if shingle == 1:
-        grams = words
-    else:
-        grams = [b" ".join(g) for g in zip(*(words[i:] for i in range(shingle)))] if len(words) >= shingle else [b" ".join(words)]
-    votes = np.zeros(bits, np.int64)
-    for at in range(0, len(grams), 1 << 14):
-        part = grams[at : at + (1 << 14)]
+    shingle = min(shingle, len(words))
+    grams = zip(*(islice(words, i, None) for i in range(shingle)))  # never all at once
+    votes, n = np.zeros(bits, np.int64), len(words) - shingle + 1
+    for at in range(0, n, 1 << 14):
+        part = [b" ".join(g) for g in islice(grams, 1 << 14)] if shingle > 1 else words[at : at + (1 << 14)]
         hashes = np.fromiter((xxhash.xxh64_intdigest(g, seed) for g in part), np.uint64, len(part))
         words_of = np.stack([_mixed(hashes, salt) for salt in range(bits // 64)], axis=1)
         votes += _column_sums(np.unpackbits(words_of.astype(">u8").view(np.uint8).reshape(-1, bits // 8), axis=1))
-    return np.packbits(votes * 2 > len(grams)).tobytes()
+    return np.packbits(votes * 2 > n).tobytes()
 
 
 def fingerprints(docs: DataFrame, views: tuple[View, ...] = LINKED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

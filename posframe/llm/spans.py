@@ -11,6 +11,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Matches whose places are added up together.
+BLOCK = 128
 SPANS = "array<struct<kind:int,start:int,end:int,match:string>>"
 
 
@@ -18,14 +20,21 @@ def no_spans() -> Column:
     return F.array().cast(SPANS)
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value computed once, also inside the functions of array expressions, which else compute it at each call."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def found(text: Column, kind: int, pattern: str, guard: str | None = None, keep: Callable[[Column], Column] | None = None) -> Column:
     """Array of the spans of `pattern` in text for which keep(match) holds; a match that fails is not tried again inside.
 
     guard: a regular expression that every text with a match has, cheaper than the pattern; by default the pattern. Only
-    texts that pass it are split.
+    texts that pass it are split. Places are added up in blocks of BLOCK matches, so that a text of very many matches does
+    not copy all spans found so far at each of them.
     """
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), matches.alias("match"))
+    length = lambda piece: F.length(piece["gap"]) + F.coalesce(F.length(piece["match"]), F.lit(0))
 
     def step(state: Column, piece: Column) -> Column:
         start = state["at"] + F.length(piece["gap"])
@@ -34,8 +43,22 @@ def found(text: Column, kind: int, pattern: str, guard: str | None = None, keep:
         taken = piece["match"].isNotNull() if keep is None else piece["match"].isNotNull() & keep(piece["match"])
         return F.struct(end.alias("at"), F.when(taken, F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
 
-    spans = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), no_spans().alias("spans")), step, lambda state: state["spans"])
-    return F.when(F.regexp(text, F.lit(guard or pattern)), spans).otherwise(no_spans())
+    def block(all_: Column, i: Column) -> Column:
+        return F.slice(all_, i * BLOCK + 1, F.lit(BLOCK))
+
+    def spans_of(all_: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / BLOCK).cast("int"))
+        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+
+        def offset(state: Column, i: Column) -> Column:
+            total = F.aggregate(block(all_, i), F.lit(0), lambda n, piece: n + length(piece))
+            return F.struct((state["at"] + total).alias("at"), F.concat(state["starts"], F.array(state["at"])).alias("starts"))
+
+        starts = F.aggregate(blocks, first, offset, lambda state: state["starts"])
+        in_block = lambda start, i: F.aggregate(block(all_, i), F.struct(start.alias("at"), no_spans().alias("spans")), step, lambda state: state["spans"])
+        return F.flatten(F.transform(starts, in_block))
+
+    return F.when(F.regexp(text, F.lit(guard or pattern)), _let(pieces, spans_of)).otherwise(no_spans())
 
 
 def apart(spans: Column, others: Column) -> Column:

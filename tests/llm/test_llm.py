@@ -169,6 +169,14 @@ def test_secret_base_rules(spark):
     assert secret_scan.report(secret_scan.scanned(df.filter("false"))).collect() == []
 
 
+def test_very_many_spans_in_one_text(spark):
+    text = "".join(f"é{i} x{i}@mail.example " for i in range(3000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = pii.report(pii.findings(df)).first()
+    want = ",".join(f"email:{m.start()}:{m.end()}" for m in re.finditer(r"x[0-9]+@mail\.example", text))
+    assert row["spans"] == want and row["n_email"] == 3000
+
+
 def test_markov_models_on_held_out_samples(spark):
     models = secret_scan.MarkovModels.trained(secret_scan.default_samples(spark, 3000))
     held_out = secret_scan.default_samples(spark, 4000).filter("length(text) >= 20").withColumn("score", models.score(F.col("text")))
