@@ -65,13 +65,39 @@ def _ship(application: str, context) -> None:
     _shipped.add(application)
 
 
+_cutting: set[str] = set()
+
+
+def _own_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one; it goes when the driver's Python ends."""
+    path = f"{shared_dir(spark)}/posframe/{spark.sparkContext.applicationId}"
+    if path not in _cutting:
+        _cutting.add(path)
+        atexit.register(_drop, spark, path)
+    return path
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    try:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(target, True)
+    except Exception:  # the JVM has gone first: the folder's own retention takes over
+        shutil.rmtree(re.sub("^file:(//)?", "", path), True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Drop all tables that this application has cut so far; results not yet written can no longer be computed."""
+    _drop(spark, _own_dir(spark))
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
     The plan that follows starts at replicated files: a lost executor costs no recomputation of what came before, and
-    later joins see a true size. The files live as long as the shared folder keeps them.
+    later joins see a true size. The files live until the application ends, or until `clean`.
     """
-    path = f"{shared_dir(df.sparkSession)}/posframe/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
