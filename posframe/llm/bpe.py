@@ -1,10 +1,10 @@
 """Byte-level BPE encoding and decoding with a contiguous rank array per word.
 
-A word is held as its part boundaries' token ids and, beside them, the ranks of the adjacent pairs. The smallest rank is
-found by scanning the array; its boundary is deleted and the two neighbouring ranks are looked up again. The scan is
-linear but the array of a word fits a cache line or two; a word longer than LONG_WORD bytes takes the same merges from a
-heap instead, so that a text without white space stays near-linear. Encoded words are remembered in two generations of
-bounded size.
+A word is held as the ids of its parts and, beside them, the ranks of the adjacent pairs. The smallest rank is found by
+scanning the array, its boundary is deleted, and the two neighbouring ranks are looked up again. The words of a batch that
+are not yet known go through this together: their arrays are the rows of a matrix, and each step scans, deletes and
+refreshes in all rows at once. A word longer than LONG_WORD bytes takes the same merges from a heap instead, so that a text
+without white space stays near-linear. Encoded words are remembered in two generations of bounded size.
 
 Defined results: null is the empty text, with no tokens; null ids, repeated rows and ties are encoded like any row; an
 empty table gives an empty result; other columns are neither read nor in the way.
@@ -15,10 +15,12 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -26,10 +28,16 @@ from pyspark.sql import DataFrame
 from .shared import ship, text_of
 
 LONG_WORD = 256
-CACHED_WORDS = 200_000
+CACHED_WORDS = 250_000
+#: Words whose arrays are merged together.
+TOGETHER = 1 << 13
 NONE = 1 << 62
 #: How a byte-level BPE splits text before its merges: part of the vocabulary's definition.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Texts of ASCII and Latin letters only, and the same splitting by plain classes, which is faster on them.
+LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+SIMPLE = re.compile(rf"[\x00-\x7f{LATIN}]*")
+SIMPLE_PATTERN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN}]+| ?[0-9]+| ?[^\s{LATIN}0-9]+|\s+(?!\S)|\s+", re.ASCII)
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -40,23 +48,38 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in printable else chr(256 + rest.index(b)) for b in range(256)]
 
 
-class _Words(dict):
-    """word -> (ids, their decimal form), encoded when first asked for; of two generations the older is dropped."""
-
-    def __init__(self, encode, most: int):
-        super().__init__()
-        self.encode, self.most, self.old = encode, most, {}
-
-    def __missing__(self, word: str):
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        if (found := self.old.get(word)) is None:
-            ids = self.encode(word.encode())
-            found = (ids, ",".join(map(str, ids)))
-        if len(word) <= LONG_WORD:
-            self[word] = found
-        return found
+class PairTable:
+    """Ranks of pairs of ids, looked up for whole arrays: an open-addressed table in numpy."""
+
+    def __init__(self, pairs: dict[int, int]):
+        keys, ranks = np.fromiter(pairs, np.int64, len(pairs)), np.fromiter((v >> 32 for v in pairs.values()), np.int64, len(pairs))
+        self.mask = (1 << (2 * len(pairs)).bit_length() + 1) - 1
+        self.keys, self.ranks = np.full(self.mask + 1, -1, np.int64), np.zeros(self.mask + 1, np.int32)
+        waiting, at = np.arange(len(keys)), self._home(keys)
+        while len(waiting):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[waiting[free]]  # of several for one place the last stays
+            placed = self.keys[at] == keys[waiting]
+            self.ranks[at[placed]] = ranks[waiting[placed]]
+            waiting, at = waiting[~placed], (at[~placed] + 1) & self.mask
+        self.none = int(ranks.max(initial=0)) + 1
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * 0x2545F4914F6CDD1D >> 20) & self.mask
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ranks of the pairs; `none` for those that do not merge, and where an id is negative."""
+        keys = left.astype(np.int64) << 32 | right
+        out = np.full(len(keys), self.none, np.int32)
+        waiting = np.flatnonzero((left >= 0) & (right >= 0))
+        at = self._home(keys[waiting])
+        while len(waiting):
+            found = self.keys[at]
+            hit = found == keys[waiting]
+            out[waiting[hit]] = self.ranks[at[hit]]
+            on = ~hit & (found >= 0)
+            waiting, at = waiting[on], (at[on] + 1) & self.mask
+        return out
 
 
 class RankBPE:
@@ -80,7 +103,13 @@ class RankBPE:
         self.pieces: dict[int, bytes] = {i: bytes(back[c] for c in token) for token, i in vocab.items() if token not in added}
         self.pieces |= {i: token.encode() for token, i in added.items()}
         self.split = regex.compile(PATTERN)
-        self.words = _Words(self.encode_word, cached)
+        self.table = PairTable(self.pairs)
+        self.merged = np.zeros(self.table.none, np.int32)
+        self.merged[[v >> 32 for v in self.pairs.values()]] = [v & 0xFFFFFFFF for v in self.pairs.values()]
+        self.bytes = np.array(self.byte_ids, np.int32)
+        self.words: dict[str, str] = {}
+        self.old: dict[str, str] = {}
+        self.cached = cached
 
     def encode_word(self, word: bytes) -> list[int]:
         ids = [self.byte_ids[b] for b in word]
@@ -118,25 +147,98 @@ class RankBPE:
                 heapq.heappush(heap, (r, h))
         return [x for x in ids if x >= 0]
 
-    def encode_parts(self, text: str) -> list[tuple[list[int], str]]:
-        """(ids, their decimal form) of each word of the text in order; added tokens in the text are themselves."""
-        if self.added_split is None or not any(token in text for token in self.added):
-            return list(map(self.words.__getitem__, self.split.findall(text)))
-        out: list[tuple[list[int], str]] = []
-        for piece in self.added_split.split(text):
-            if piece in self.added:
-                out.append(([self.added[piece]], str(self.added[piece])))
+    def encode_words(self, words: list[bytes]) -> list[list[int]]:
+        """The ids of each word, LONG_WORD bytes at most, by merging in all of them at once."""
+        out: list[list[int]] = [[]] * len(words)
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        for at in range(0, len(order), TOGETHER):
+            rows = np.array(order[at : at + TOGETHER])
+            lengths = np.array([len(words[i]) for i in rows])
+            width = int(lengths[-1])
+            letters = np.frombuffer(b"".join(words[i].ljust(width, b"\0") for i in rows), np.uint8).reshape(-1, width)
+            columns = np.arange(width)
+            ids = np.where(columns < lengths[:, None], self.bytes[letters], -1)
+            ranks = np.full((len(rows), width), self.table.none, np.int32)
+            ranks[:, :-1] = self.table(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(rows), width - 1)
+            while len(rows):
+                best = ranks.argmin(axis=1)
+                each = np.arange(len(rows))
+                least = ranks[each, best]
+                done = least == self.table.none
+                for i in np.flatnonzero(done):
+                    row = ids[i]
+                    out[rows[i]] = row[row >= 0].tolist()
+                on = ~done
+                rows, ids, ranks, best, least = rows[on], ids[on], ranks[on], best[on], least[on]
+                if not len(rows):
+                    break
+                each = np.arange(len(rows))
+                # the part right of the boundary goes: what follows moves one to the left
+                after = columns[None, :-1] > best[:, None]
+                ids[:, :-1] = np.where(after, ids[:, 1:], ids[:, :-1])
+                ids[:, -1] = -1
+                ranks[:, :-1] = np.where(columns[None, :-1] >= best[:, None], ranks[:, 1:], ranks[:, :-1])
+                ranks[:, -1] = self.table.none
+                ids[each, best] = self.merged[least]
+                right = np.minimum(best + 1, width - 1)
+                ranks[each, best] = self.table(ids[each, best], np.where(best + 1 < width, ids[each, right], -1))
+                left = best > 0
+                ranks[each[left], best[left] - 1] = self.table(ids[each[left], best[left] - 1], ids[each[left], best[left]])
+        return out
+
+    def _split(self, text: str) -> list[str]:
+        return (SIMPLE_PATTERN if SIMPLE.fullmatch(text) else self.split).findall(text)
+
+    def _learn(self, words: set[str]) -> list[str]:
+        """Make the decimal forms of the words known; the long ones among them, to be forgotten after use."""
+        if len(self.words) >= self.cached:
+            self.words, self.old = {}, self.words
+        missing = [w for w in words if w not in self.words]
+        known = {w: f for w in missing if (f := self.old.get(w)) is not None}
+        self.words |= known
+        new = [w for w in missing if w not in known]
+        raw = [w.encode() for w in new]
+        short = [i for i, r in enumerate(raw) if len(r) <= LONG_WORD]
+        for i, ids in zip(short, self.encode_words([raw[i] for i in short])):
+            self.words[new[i]] = ",".join(map(str, ids))
+        long = [i for i, r in enumerate(raw) if len(r) > LONG_WORD]
+        for i in long:
+            self.words[new[i]] = ",".join(map(str, self.encode_word(raw[i])))
+        return [new[i] for i in long]
+
+    def decimal(self, texts: list[str]) -> list[str]:
+        """The ids of each text, in decimal, joined by commas; added tokens in a text are themselves."""
+        pieces: list[list[str]] = []
+        for text in texts:
+            if self.added_split is not None and any(token in text for token in self.added):
+                parts = [[p] if p in self.added else self._split(p) for p in self.added_split.split(text)]
+                pieces.append(list(chain.from_iterable(parts)))
             else:
-                out += map(self.words.__getitem__, self.split.findall(piece))
+                pieces.append(self._split(text))
+        marks = {token: self.words.pop(token, None) for token in self.added}
+        long = self._learn(set(chain.from_iterable(pieces)) - self.added.keys())
+        # a piece that is an added token's string can only be the token: the splitting never gives it otherwise
+        self.words |= {token: str(i) for token, i in self.added.items()}
+        out = [",".join(map(self.words.__getitem__, p)) for p in pieces]
+        for word in [*long, *marks]:
+            del self.words[word]
         return out
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(ids for ids, _ in self.encode_parts(text)))
+        return ids_of(self.decimal([text])[0])
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.pieces.__getitem__, ids)).decode("utf-8", "replace")
 
 
+def ids_of(decimal: str) -> list[int]:
+    return list(map(int, decimal.split(","))) if decimal else []
+
+
+#: Texts that are encoded together.
+AT_ONCE = 256
+
+
 @lru_cache(maxsize=2)
 def _coder(path: str) -> RankBPE:
     return RankBPE(path)
@@ -149,9 +251,9 @@ def token_ids(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                ids = [coder.encode(t.as_py()) for t in part.column(1)]
+            for at in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(at, AT_ONCE)
+                ids = [ids_of(d) for d in coder.decimal(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "n_tokens", "ids"])
 
     return docs.select(docs[doc_id].cast("long").alias("doc_id"), text_of(docs, text).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
@@ -177,12 +279,12 @@ def digests(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
         coder = _coder(tokenizer)
         for batch in batches:
             counts, hashes, decoded = [], [], []
-            for body in batch.column(1):
-                parts = coder.encode_parts(body.as_py())
-                ids = list(chain.from_iterable(p[0] for p in parts))
-                counts.append(len(ids))
-                hashes.append(hashlib.sha256(",".join([p[1] for p in parts]).encode()).hexdigest())
-                decoded.append(hashlib.sha256(coder.decode(ids).encode()).hexdigest())
+            for at in range(0, batch.num_rows, AT_ONCE):
+                for decimal in coder.decimal(batch.column(1).slice(at, AT_ONCE).to_pylist()):
+                    ids = ids_of(decimal)
+                    counts.append(len(ids))
+                    hashes.append(hashlib.sha256(decimal.encode()).hexdigest())
+                    decoded.append(hashlib.sha256(coder.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     ship(docs.sparkSession)

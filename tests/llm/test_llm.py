@@ -58,6 +58,25 @@ def as_list(df):
     return [r.asDict() for r in df.collect()]
 
 
+def test_cut_tables_can_be_dropped(spark):
+    from posframe.llm import shared
+
+    kept = shared.cut(spark.range(5).toDF("a"), "five")
+    assert kept.count() == 5
+    shared._drop(spark, kept.inputFiles()[0].rsplit("/", 1)[0])
+    with pytest.raises(Exception):
+        kept.count()
+
+
+def test_fresh_names():
+    from posframe.llm import shared
+
+    class Frame:
+        columns = ["A", "_a", "b"]
+
+    assert shared.fresh(Frame, "a", "a", "c") == ["__a", "___a", "c"]
+
+
 # ------------------------------------------------------------------------------------------------ exact dedup (op 4)
 
 
