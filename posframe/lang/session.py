@@ -212,8 +212,6 @@ def lazy_monad(verb: str, x):
             return Frame(first, POS, x.key, x.names)
         if verb == "@":
             return Sym("M")
-    if isinstance(x, Groups) and verb in "!":
-        return [k for k in x.keys]
     if isinstance(x, Order) and verb == "*":
         return Fold(x.frame, (F.max_by if x.desc else F.min_by)(F.col(x.frame.pos), F.struct(*x.by, -F.col(x.frame.pos) if x.desc else F.col(x.frame.pos))))
     if isinstance(x, Mapping) and verb in "<>":
@@ -458,11 +456,11 @@ def over(f: Fn, adverb: str, session: Session) -> Fn:
             if isinstance(x, Dict):
                 return Dict(x.keys, [f.call(a) for a in x.values])
             return v.joined([f.call(a) for a in v.items(x)]) if v.is_list(x) else f.call(x)
-        if len(args) == 2 and isinstance(args[0], int) and not isinstance(f, Fn):
-            return None
         x, y = args[0], args[1]
-        if len(args) == 2 and isinstance(x, int) and f.arity == 1 or (len(args) == 2 and isinstance(x, int) and f.mark.get("fold") and v.is_list(y)) or (len(args) == 2 and isinstance(y, Series) and f.mark.get("fold")):
-            if isinstance(y, Series):  # stencil
+        if len(args) == 2 and isinstance(x, int) and f.arity == 1 and (v.is_list(y) or isinstance(y, Series)):  # stencil
+            if isinstance(y, Series):
+                if not f.mark.get("fold"):
+                    raise EngineError("nyi", "windows of a column take a fold")
                 name = y.frame.with_column(y)
                 made = window.stencil(y.frame.df, name, x, FOLD_OF[f.mark["fold"]], "_w", pos=y.frame.pos)
                 return Series(Frame(made, y.frame.pos, None, y.frame.names), F.col("_w"))
@@ -731,7 +729,7 @@ class Session:
                     return head.call(*full)
 
                 return Fn(fill, len(holes), "projection")
-            return head.call(*values) if not (args == []) else head.call()
+            return head.call(*values)
         for x in values:
             if x is not None:
                 head = verb_fn("@").call(head, x)
