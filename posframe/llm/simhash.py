@@ -58,6 +58,8 @@ SIMILAR = (View(1, 5), View(5, 165, 1024))
 SHARD, LEVELS, PER_SHARD = 1 << 15, 16, 64
 #: Comparisons made at once, and points of a shard that all others meet first.
 BLOCK, LEADERS = 1 << 18, 64
+#: Visitors of a shard that are searched for together.
+VISITORS = 1 << 14
 
 
 def _mixed(hashes: np.ndarray, salt: int) -> np.ndarray:
@@ -300,17 +302,25 @@ def _forests(views: tuple[View, ...]):
     def batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
+    def met(shard: _Shard, visitors: list[Points]) -> Iterator[pa.RecordBatch]:
+        if visitors:
+            for a, b in shard.visit(Points.joined(visitors)):
+                yield batch(a, b)
+            visitors.clear()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, held, shard = None, [], None
+        current, held, shard, visitors, waiting = None, [], None, [], 0
         for rows in batches:
             shards, own = (rows.column(i).to_numpy(zero_copy_only=False) for i in range(2))
             points = Points.of(*rows.columns[2:])
             starts = np.flatnonzero(np.r_[True, shards[1:] != shards[:-1]]) if len(shards) else []
             for start, end in zip(starts, [*starts[1:], len(shards)]):
                 if shards[start] != current:
-                    if held:  # a shard without visitors
+                    if shard is not None:
+                        yield from met(shard, visitors)
+                    elif held:  # a shard without visitors
                         yield batch(*_Shard(Points.joined(held), views).own())
-                    current, held, shard = shards[start], [], None
+                    current, held, shard, waiting = shards[start], [], None, 0
                 split = start + int(own[start:end].sum())
                 if split > start:
                     held.append(points[start:split])
@@ -319,9 +329,14 @@ def _forests(views: tuple[View, ...]):
                         shard = _Shard(Points.joined(held or [points[:0]]), views)
                         held = []
                         yield batch(*shard.own())
-                    for a, b in shard.visit(points[split:end]):
-                        yield batch(a, b)
-        if held:
+                    visitors.append(points[split:end])
+                    waiting += end - split
+                    if waiting >= VISITORS:
+                        yield from met(shard, visitors)
+                        waiting = 0
+        if shard is not None:
+            yield from met(shard, visitors)
+        elif held:
             yield batch(*_Shard(Points.joined(held), views).own())
 
     return run
