@@ -450,9 +450,10 @@ def null_mask_fill(events):
     return events.select("event_id", v.alias("v")).select("event_id", arith.is_null(c("v")).alias("n"), arith.fill(c("v"), F.lit(-1.0)).alias("f"))
 
 
-@query("select event_id, try_cast(substr(event_type,1,1)||event_id as bigint) as bad, (event_id::varchar)::bigint as good from events", "events")
+@query("select event_id, coalesce(try_cast(case when event_id%2=0 then event_id::varchar else event_type end as bigint), -1) as n, (event_id::varchar)::bigint as good from events", "events")
 def cast_parse(events):
-    return events.select("event_id", arith.cast(F.concat(F.substring("event_type", 1, 1), c("event_id").cast("string")), "bigint").alias("bad"), arith.cast(text.fmt(c("event_id")), "bigint").alias("good"))
+    mixed = F.when(c("event_id") % 2 == 0, text.fmt(c("event_id"))).otherwise(c("event_type"))
+    return events.select("event_id", arith.fill(arith.cast(mixed, "bigint"), F.lit(-1)).alias("n"), arith.cast(text.fmt(c("event_id")), "bigint").alias("good"))
 
 
 @query("select o_orderkey, list_sum(list_transform(string_split(o_orderkey::varchar, ''), lambda x: x::bigint))::bigint as s from orders", "orders")
