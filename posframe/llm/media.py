@@ -2,8 +2,8 @@
 
 A recording's samples become frames, each frame's spectrum twelve pitch classes, and the classes over time an image. Haar
 filters on the image's integral give sixteen two-bit answers at each place: a 32-bit print. Two recordings are aligned by
-the histogram of offsets at which they share a print; the offset with most votes is then judged by the share of differing
-bits over the whole overlap.
+the histogram of offsets at which they share a print; every offset with enough votes is then judged by the share of
+differing bits over the whole overlap, and all that pass are given.
 
 The catalogue (the known recordings) is the stated query set: its prints, taken at every phase of the hop so that a copy
 at any offset falls on frames of its own, go to the workers in blocks of at most BLOCK_PRINTS; every document meets every
@@ -14,7 +14,7 @@ Defined results
 ---------------
 * Null, empty or too short recordings have no prints and no alignment.
 * A WAV container is decoded (PCM of 8 or 16 bits, channels averaged); other bytes are taken as unsigned 8-bit PCM.
-* Equal votes: fewer bit errors, then the smallest catalogue id, then the smallest offset wins. Null ids and repeated rows
+* Equal votes: fewer bit errors, then the smallest catalogue id, then the smallest offset comes first. Null ids and repeated rows
   are fingerprinted like any row; an empty table or catalogue gives empty results or no alignments.
 """
 
@@ -178,29 +178,36 @@ class Catalogue:
         # a print of silence is everywhere and tells nothing
         self.silence = int(chroma.prints(np.zeros((chroma.width, 12)))[0])
 
-    def align(self, prints: np.ndarray, best_of: int = 5) -> tuple[int, int, int, float] | None:
-        """(votes, id, offset in samples, share of differing bits) of the best aligned known recording; None without a vote.
+    def align(self, prints: np.ndarray, least_votes: int = 2, most_errors: float = 0.1) -> list[tuple[int, int, int, float]]:
+        """(votes, id, offset in samples, share of differing bits) of every alignment that passes, the best first.
 
-        The offset is where the known recording begins in this one.
+        The offset is where the known recording begins in this one. Every offset of a known recording with least_votes or
+        more is judged by its bit errors. Offsets less than a hop from a better one of the same recording are the same passage,
+        seen through a neighbouring phase.
         """
         low, high = np.searchsorted(self.sorted, prints, "left"), np.searchsorted(self.sorted, prints, "right")
         count = np.where(prints == self.silence, 0, high - low)
         hits = np.flatnonzero(count)
         if not len(hits):
-            return None
+            return []
         # index of the k-th catalogue place of each hit
         runs = np.repeat(low[hits] - np.r_[0, count[hits].cumsum()[:-1]], count[hits]) + np.arange(count[hits].sum())
         shift = np.repeat(hits, count[hits]) - self.place[runs]
         keys, votes = np.unique(self.entry[runs].astype(np.int64) << 32 | (shift + (1 << 31)), return_counts=True)
         found = []
-        for k in np.argsort(-votes, kind="stable")[:best_of]:
+        for k in np.flatnonzero(votes >= least_votes):
             entry, offset = int(keys[k] >> 32), int(keys[k] & 0xFFFFFFFF) - (1 << 31)
             known = self.prints[entry]
             start, end = max(0, offset), min(len(prints), offset + len(known))
             errors = int(np.bitwise_count(prints[start:end] ^ known[start - offset : end - offset]).sum()) / (32 * (end - start))
-            found.append((-int(votes[k]), errors, self.ids[entry], offset * self.chroma.hop - self.phase[entry]))
-        votes_, errors, i, offset = min(found)
-        return -votes_, i, offset, errors
+            if errors <= most_errors:
+                found.append((-int(votes[k]), errors, self.ids[entry], offset * self.chroma.hop - self.phase[entry]))
+        out, places = [], {}
+        for votes_, errors, i, offset in sorted(found):
+            if all(abs(offset - x) >= self.chroma.hop for x in places.setdefault(i, [])):
+                places[i].append(offset)
+                out.append((-votes_, i, offset, errors))
+        return out
 
 
 def catalogues(known: DataFrame, recording: Column, chroma: Chroma, known_id: str, block_prints: int = BLOCK_PRINTS) -> Iterator[Catalogue]:
@@ -231,24 +238,25 @@ def fingerprinted(rows: DataFrame, recording: Column, chroma: Chroma = Chroma(),
 
 
 def aligned(rows: DataFrame, recording: Column, known: DataFrame, known_recording: Column, chroma: Chroma = Chroma(), most_errors: float = 0.1, least_votes: int = 2, doc_id: str = "doc_id", known_id: str = "item_id") -> DataFrame:
-    """One row per recording: doc_id, n_prints, prints_sha256, item_id, votes, offset, bit_errors.
+    """One row per recording: doc_id, n_prints, prints_sha256, item_id, votes, offset, bit_errors, links.
 
-    item_id is the known recording that aligns best, null where none shares least_votes prints at one offset with
-    most_errors differing bits at most.
+    links: all alignments that share least_votes prints or more with most_errors differing bits at most, the best first;
+    item_id and what follows are the first one's, null where there is none.
     """
     ship(rows.sparkSession)
     given = rows.select(rows[doc_id].cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), recording.cast("binary").alias("recording"))
-    schema = "doc_id long, row long, n_prints long, prints_sha256 string, votes long, bit_errors double, item_id long, offset long"
+    names = ["doc_id", "row", "n_prints", "prints_sha256", "links"]
+    link = pa.struct([("unvoted", pa.int64()), ("bit_errors", pa.float64()), ("item_id", pa.int64()), ("offset", pa.int64())])
+    schema = "doc_id long, row long, n_prints long, prints_sha256 string, links array<struct<unvoted: long, bit_errors: double, item_id: long, offset: long>>"
 
     def against(catalogue: Catalogue | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 prints = prints_of_all(batch.column(2).to_pylist(), chroma)
-                found = [catalogue.align(p) if catalogue is not None and len(p) else None for p in prints]
-                found = [f if f and f[0] >= least_votes and f[3] <= most_errors else (None, None, None, None) for f in found]
+                found = [catalogue.align(p, least_votes, most_errors) if catalogue is not None and len(p) else [] for p in prints]
+                links = [[{"unvoted": -votes, "bit_errors": errors, "item_id": i, "offset": offset} for votes, i, offset, errors in f] for f in found]
                 hashes = [hashlib.sha256(p.astype("<u4").tobytes()).hexdigest() for p in prints]
-                votes, items, offsets, errors = zip(*found) if found else ((), (), (), ())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(len, prints), pa.int64()), pa.array(hashes, pa.string()), pa.array(votes, pa.int64()), pa.array(errors, pa.float64()), pa.array(items, pa.int64()), pa.array(offsets, pa.int64())], names=schema.replace(" long", "").replace(" string", "").replace(" double", "").split(", "))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(len, prints), pa.int64()), pa.array(hashes, pa.string()), pa.array(links, pa.list_(link))], names=names)
 
         return run
 
@@ -258,6 +266,8 @@ def aligned(rows: DataFrame, recording: Column, known: DataFrame, known_recordin
     if len(parts) > 1:
         for part in parts[1:]:
             out = out.unionByName(part)
-        rank = F.struct(F.coalesce(-F.col("votes"), F.lit(0)).alias("v"), "bit_errors", "item_id", "offset", "doc_id", "n_prints", "prints_sha256", "votes")
-        out = out.groupBy("row").agg(F.min(rank).alias("best")).select("best.*")
-    return out.select("doc_id", "n_prints", "prints_sha256", "item_id", "votes", "offset", "bit_errors")
+        firsts = [F.min(c).alias(c) for c in ("doc_id", "n_prints", "prints_sha256")]
+        out = out.groupBy("row").agg(*firsts, F.array_sort(F.flatten(F.collect_list("links"))).alias("links"))
+    best = F.get("links", F.lit(0))
+    links = F.transform("links", lambda x: F.struct(x["item_id"].alias("item_id"), (-x["unvoted"]).alias("votes"), x["offset"].alias("offset"), x["bit_errors"].alias("bit_errors")))
+    return out.select("doc_id", "n_prints", "prints_sha256", best["item_id"].alias("item_id"), (-best["unvoted"]).alias("votes"), best["offset"].alias("offset"), best["bit_errors"].alias("bit_errors"), links.alias("links"))
