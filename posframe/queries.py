@@ -483,6 +483,12 @@ def matmul(embeddings):
     return numeric.matmul(a, project.transpose(a)).select("i", "k", F.round("v", 4).alias("d"))
 
 
+@query("with e as (select vec_id, unnest(embedding)::double as x, generate_subscripts(embedding,1)-1 as j from embeddings) select a.j as i, b.j as k, round(sum(a.x*b.x),4) as d from e a join e b using(vec_id) group by 1,2", "embeddings")
+def matmul_whole(embeddings):
+    a = numeric.long_form(embeddings, "vec_id", "embedding")
+    return numeric.matmul(project.transpose(a), a).select("i", "k", F.round("v", 4).alias("d"))
+
+
 @query("with e as (select vec_id, unnest(embedding)::double as x from embeddings), m as (select vec_id, max(x) as h from e group by 1) select vec_id, round(max(exp(x-h))/sum(exp(x-h)),6) as p from e join m using (vec_id) group by 1", "embeddings")
 def softmax_peak(embeddings):
     return embeddings.select("vec_id", F.round(F.array_max(numeric.softmax(c("embedding"))), 6).alias("p"))
