@@ -605,6 +605,12 @@ def combinations(nation):
     return made.select(*[F.get("c", F.lit(i)).alias(n) for i, n in enumerate("abc")])
 
 
+@query("select a.n_nationkey as a, b.n_nationkey as b, c.n_nationkey as c from nation a, nation b, nation c where a.n_nationkey<b.n_nationkey and b.n_nationkey<c.n_nationkey", "nation")
+def combinations_whole(nation):
+    made = sets.combinations(nation.select("n_nationkey", c("n_nationkey").cast("bigint").alias("_pos")), "n_nationkey", 3)
+    return made.select(*[F.get("c", F.lit(i)).alias(n) for i, n in enumerate("abc")])
+
+
 @query("select event_id, least(greatest(value, 10), 50) as cl, round(value - floor(value), 4) as fr, sign(value-50)::double as sg, round(tanh(value/100),6) as th from events", "events")
 def clamp_mix(events):
     x = c("value")
@@ -618,6 +624,13 @@ def gather_reduce(embeddings):
     return numeric.gather_reduce(wanted, rows).select("g", "j", F.round("v", 4).alias("v"))
 
 
+@query("select vec_id % 7 as g, j as j, round(sum(x),4) as v from (select vec_id, unnest(embedding)::double as x, generate_subscripts(embedding,1)-1 as j from embeddings) group by 1,2", "embeddings")
+def gather_reduce_whole(embeddings):
+    rows = numeric.long_form(embeddings, "vec_id", "embedding")
+    wanted = embeddings.select((c("vec_id") % 7).alias("g"), c("vec_id").alias("i"))
+    return numeric.gather_reduce(wanted, rows).select("g", "j", F.round("v", 4).alias("v"))
+
+
 @query("with e as (select vec_id, unnest(embedding)::double as x from embeddings), m as (select vec_id, avg(x) as mu, sqrt(var_pop(x)+1e-5) as sd from e group by 1) select vec_id, round(max((x-mu)/sd),5) as hi, round(min((x-mu)/sd),5) as lo from e join m using (vec_id) group by 1", "embeddings")
 def layernorm(embeddings):
     normed = embeddings.select("vec_id", numeric.layernorm(c("embedding")).alias("y"))
