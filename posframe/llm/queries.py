@@ -60,10 +60,17 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Documents and pages together: only pages have markup and an address, only documents the labels of the models.
+
+    doc_id is null for a page and page_id for a document.
+    """
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
     models = langid.TrigramModels.trained(langid.labelled_sample(docs))
-    found = langid.identified(langid.from_documents(docs), models)
-    return found.select("doc_id", "lang", "probability", "text_lang", "n_trigrams", "host_share", (F.col("lang") != langid.UND).alias("kept"))
+    said = ("lang", "probability", "text_lang", "n_trigrams", "host_share", (F.col("lang") != langid.UND).alias("kept"))
+    nothing = F.lit(None).cast("long")
+    of_docs = langid.identified(langid.from_documents(docs), models).select("doc_id", nothing.alias("page_id"), *said)
+    of_pages = langid.identified(langid.from_pages(pages), models).select(nothing.alias("doc_id"), F.col("doc_id").alias("page_id"), *said)
+    return of_docs.unionByName(of_pages)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
