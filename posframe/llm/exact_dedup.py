@@ -1,9 +1,9 @@
 """Exact duplicates by content-defined chunk recipes, with DataFrame functions only.
 
-Each text is cut where its own content says so: after a full stop or line end once a chunk has MIN_CHUNK characters, and
-at MAX_CHUNK at the latest. The chunks, each text moved once and repeats merged before the shuffle, are reduced to
-128-bit identifiers, and these are *verified*: no two different chunks of the corpus may share one (otherwise the next
-seed is tried). From then on a document is its recipe, the ordered list of identifiers, and only recipes are compared.
+Each text is cut where its own content says so, once a chunk has MIN_CHUNK characters: after a full stop or line end; in
+texts without them after other punctuation or white space, or else after one of a few sampled letters and ideographs; at
+MAX_CHUNK at the latest. The chunks are reduced to 128-bit identifiers, and these are *verified*: no two chunks of the
+corpus that differ in length or SHA-256 may share one (otherwise the next seed is tried). No text moves for that. From then on a document is its recipe, the ordered list of identifiers, and only recipes are compared.
 
 Defined results
 ---------------
@@ -21,11 +21,15 @@ from pyspark.sql import functions as F
 from .shared import cut, keep_rows, text_of
 
 MIN_CHUNK, MAX_CHUNK = 512, 4096
+#: What a chunk ends with, the first that is found: sentence ends, other punctuation and spaces, sampled characters.
+BOUNDARIES = (r"[.\n]", r"[\s\p{P}\p{S}]", r"[0-3AEIOUaeiou\u3041-\u3050\u4e00-\u52ff\uac00-\uafff]")
 
 
 def chunks(text: Column, least: int = MIN_CHUNK, most: int = MAX_CHUNK) -> Column:
     """Array of the text's chunks; their concatenation is the text."""
-    return F.regexp_extract_all(text, F.lit(rf"(?s).{{{least},{most - 1}}}?[.\n]|.{{1,{most}}}"), F.lit(0))
+    later = [(least + most) // 2, (least + 3 * most) // 4, most]
+    cuts = [rf".{{{least},{at - 1}}}?{mark}" for at, mark in zip(later, BOUNDARIES)]
+    return F.regexp_extract_all(text, F.lit("(?s)" + "|".join([*cuts, f".{{1,{most}}}"])), F.lit(0))
 
 
 def _identifier(chunk: Column, seed: int) -> list[Column]:
@@ -33,11 +37,11 @@ def _identifier(chunk: Column, seed: int) -> list[Column]:
 
 
 def verified_seed(docs: DataFrame, text: str = "text", tries: int = 8) -> int:
-    """The first seed whose identifiers tell all different chunks of the corpus apart, checked on the chunks themselves."""
+    """The first seed whose identifiers tell all different chunks of the corpus apart, by their lengths and SHA-256."""
     pieces = docs.select(F.explode(chunks(text_of(docs, text))).alias("chunk"))
     for seed in range(tries):
         first, second = _identifier(F.col("chunk"), seed)
-        different = pieces.select(first.alias("a"), second.alias("b"), "chunk").distinct()
+        different = pieces.select(first.alias("a"), second.alias("b"), F.length("chunk").alias("length"), F.unhex(F.sha2("chunk", 256)).alias("digest")).distinct()
         shared_ids = different.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1")
         if shared_ids.agg(F.count("*")).first()[0] == 0:
             return seed

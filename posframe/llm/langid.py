@@ -5,8 +5,8 @@ that the markup declares, the address suffix, and the host. Suffix and host spea
 posteriors, a host's smoothed by its suffix's and that by the whole corpus's, a document's own share taken out. A model
 of no language (all trigrams alike) competes with the others and takes texts that none of them explains.
 
-The trigram models are fitted on a bounded sample of labelled rows (SAMPLE_ROWS, by a hash of the id); likelihoods, counts
-and priors then cover every row and whole texts. A host with a third of all rows is summed before the shuffle, and the
+The trigram models are fitted on a bounded sample of labelled rows (SAMPLE_ROWS of each label, by a hash of the id), so that
+a rare language has its model at every size; likelihoods, counts and priors then cover every row and whole texts. A host with a third of all rows is summed before the shuffle, and the
 priors, a written table, are joined so that adaptive execution can split its rows.
 
 Defined results
@@ -15,6 +15,7 @@ Defined results
   known is declared either, the language is `und` and the row is rejected, as priors alone tell nothing of a row.
 * Null host or suffix is a group of its own; a null or unknown declaration is no evidence.
 * Null ids, repeated rows and ties: every row is judged by itself; of equal posteriors the first language in order wins.
+* Without any label there is no model and nothing can be judged: `accepted` keeps all rows.
 * An empty table gives an empty result; other columns are neither read nor in the way.
 """
 
@@ -31,7 +32,8 @@ from pyspark.sql import functions as F
 from .shared import cut, keep_rows, ship, text_of
 
 UND = "und"
-SAMPLE_ROWS = 4000
+#: Labelled rows of each language that the models are fitted on.
+SAMPLE_ROWS = 1000
 BUCKETS = 1 << 13
 #: Weight of a trigram (neighbours share two of three bytes), belief in a declaration, and pseudo-counts of the priors.
 TRIGRAM_WEIGHT, DECLARED_BELIEF, HOST_STRENGTH, SUFFIX_STRENGTH = 1 / 3, 0.9, 10.0, 10.0
@@ -58,9 +60,15 @@ def _pieces(text: bytes) -> Iterator[bytes]:
 
 
 def labelled_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, doc_id: str = "doc_id", label: str = "lang") -> DataFrame:
-    """About `rows` of the labelled rows, chosen by a hash of the id: the same rows at every run."""
+    """About `rows` of the rows of each label, chosen by a hash of the id: the same rows at every run.
+
+    A count per label comes to the driver, as do the models themselves.
+    """
     labelled = docs.filter(docs[label].isNotNull())
-    share = min(1.0, rows / max(1, labelled.count()))
+    counts = {r[0]: r[1] for r in labelled.groupBy(docs[label]).count().collect()}
+    if not counts:
+        return labelled
+    share = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, min(1.0, rows / n))])[docs[label]]
     return labelled.filter((F.xxhash64(F.lit("sample"), docs[doc_id]) / F.lit(2.0**64) + 0.5) < share)
 
 
@@ -183,8 +191,13 @@ def identified(rows: DataFrame, models: TrigramModels) -> DataFrame:
 
 
 def accepted(docs: DataFrame, models: TrigramModels | None = None, languages: list[str] | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The rows of docs in one of the languages (by default all that the models know), all columns as they are."""
+    """The rows of docs in one of the languages (by default all that the models know), all columns as they are.
+
+    Where nothing is labelled and no models are given, no row can be judged and all stay.
+    """
     models = models or TrigramModels.trained(labelled_sample(docs, doc_id=doc_id), text)
     languages = languages or [x for x in models.languages if x != UND]
+    if not languages:
+        return docs
     decided = identified(from_documents(docs, doc_id, text, source), models)
-    return keep_rows(docs, decided.select("doc_id", "mark", F.col("lang").isin(*languages).alias("kept") if languages else F.lit(False).alias("kept")), doc_id, text)
+    return keep_rows(docs, decided.select("doc_id", "mark", F.col("lang").isin(*languages).alias("kept")), doc_id, text)

@@ -1,11 +1,11 @@
 """Mixing sources to target weights by weighted fair queueing, with DataFrame functions.
 
-Every source's documents stand in a queue in shuffled order, one queue behind the other for each repeat. A document's
-virtual finish time is the cumulative count of its source's words, itself included, divided by the source's target. The
-mix is all documents in the order of finish times (a range sort), cut where their words reach the total budget. As the
-targets add up to the budget, it is spent at virtual time 1: documents then in service, one per source at most, are cut to
-the words that their source has left, so that one long document cannot hand its share to other sources. Where whole
-documents are wanted (`mixed`), such a document is in if at least half of it is.
+Every source's documents stand in a queue in shuffled order, one queue behind the other for each repeat, and are served
+in packets of PACKET words. A packet's virtual finish time is the cumulative count of its source's words, its own
+included, divided by the source's target. The mix is all packets in the order of finish times (a range sort), cut where
+their words reach the total budget: a packet before the cut is in, the one on the cut gives the words that are left, and
+what follows is out. Packets keep one long document from holding back its source or handing its share to others: a source
+ends within a packet of its target. Where whole documents are wanted (`mixed`), one is in if at least half of it is.
 
 A source of a third of the corpus is no hot key: cumulative counts are taken in blocks of the shuffled order, and block
 offsets come from block totals.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .shared import cut, fresh, text_of, word_count
 
-BLOCK_ROWS, RANGE_ROWS = 50_000, 200_000
+BLOCK_ROWS, RANGE_ROWS, PACKET = 50_000, 200_000, 128
 
 
 def targets(sources: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, repeats: int = 2) -> DataFrame:
@@ -56,7 +56,7 @@ def targets(sources: DataFrame, weights: Sequence[float] = (3, 1, 2), share: flo
 
 
 def _queued(docs: DataFrame, names: dict[str, str], weights: Sequence[float], share: float, repeats: int, seed: int) -> tuple[DataFrame, float, int]:
-    """(doc_id, source, place, size, source_size, target, upto), the budget in words, and the number of rows."""
+    """(doc_id, source, place, size, source_size, target, upto), the budget in words, and about how many packets there are."""
     body = text_of(docs, names["text"])
     light = docs.select(docs[names["doc_id"]].alias("doc_id"), docs[names["source"]].alias("source"), F.xxhash64(F.lit(seed), docs[names["doc_id"]], body).alias("place"), word_count(body).alias("size"))
     light = cut(light, "sizes")
@@ -72,38 +72,50 @@ def _queued(docs: DataFrame, names: dict[str, str], weights: Sequence[float], sh
     placed = light.withColumn("within", within).join(offsets, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("at")))
     queued = cut(placed.select("doc_id", "source", "place", "size", "source_size", "target", (F.col("before") + F.col("within")).alias("upto")), "queued")
     total = totals.agg(F.sum("words")).first()[0] or 0
-    return queued, total * share, rows
+    return queued, total * share, total // PACKET + rows
 
 
-def _turn(repeat: Column | int) -> Column:
-    """Where a document's repeat stands in the mix."""
-    r = F.lit(repeat) if isinstance(repeat, int) else repeat
-    return F.struct(((r * F.col("source_size") + F.col("upto")) / F.col("target")).alias("finish"), F.col("place").alias("place"), F.col("doc_id").alias("id"), r.cast("int").alias("repeat"))
+def _packets() -> Column:
+    """The numbers of a document's packets."""
+    return F.sequence(F.lit(1), F.ceil(F.col("size") / PACKET).cast("int"))
+
+
+def _turn(repeat: Column, packet: Column) -> Column:
+    """Where a packet of a document's repeat stands in the mix."""
+    served = F.least(packet.cast("long") * PACKET, F.col("size"))
+    finish = (repeat * F.col("source_size") + F.col("upto") - F.col("size") + served) / F.col("target")
+    return F.struct(finish.alias("finish"), F.col("place").alias("place"), F.col("doc_id").alias("id"), F.col("source").alias("source"), repeat.cast("int").alias("repeat"), packet.cast("int").alias("packet"))
+
+
+def _words(packet: Column) -> Column:
+    """The words of a packet."""
+    return F.least(F.col("size") - (packet.cast("long") - 1) * PACKET, F.lit(PACKET).cast("long"))
 
 
 def in_order(queued: DataFrame, rows: int, repeats: int) -> DataFrame:
-    """Every repeat of every document that has words, range-sorted by finish time: turn, size, part (the range)."""
-    turns = queued.filter("size > 0 and target > 0").select(F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"), "*")
-    turns = turns.select(_turn(F.col("repeat")).alias("turn"), "size")
+    """Every packet of every repeat of all documents that have words, range-sorted by finish time: turn, words, part (the range)."""
+    turns = queued.filter("size > 0 and target > 0").select("*", F.explode(_packets()).alias("packet"))
+    turns = turns.select("*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
+    turns = turns.select(_turn(F.col("repeat"), F.col("packet")).alias("turn"), _words(F.col("packet")).alias("words"))
     parts = max(8, rows * repeats // RANGE_ROWS)
-    ranged = turns.repartitionByRange(parts, F.col("turn.finish"), F.col("turn.place"), F.col("turn.id"), F.col("turn.repeat"))
+    ranged = turns.repartitionByRange(parts, *[F.col(f"turn.{f}") for f in ("finish", "place", "id", "source", "repeat", "packet")])
     return cut(ranged.withColumn("part", F.spark_partition_id()), "in-order")
 
 
-def _last_turn(ordered: DataFrame, budget: float):
-    """The last turn that the budget holds; None where it holds none.
+def _end(ordered: DataFrame, budget: float):
+    """(turn, left): the first packet that the budget does not hold whole, and the words that are left for it; None where it holds all.
 
     Range totals say in which range the budget ends; only that range's rows are then added up one by one.
     """
     upto = F.sum("words").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, 0))
-    totals = ordered.groupBy("part").agg(F.sum("size").alias("words"), F.max("turn").alias("last")).withColumn("upto", upto)
-    ends = totals.agg(F.max(F.when(F.col("upto") <= budget, F.struct("upto", "last"))).alias("whole"), F.min(F.when(F.col("upto") > budget, F.struct("upto", "words", "part"))).alias("broken")).first()
-    if ends["broken"] is None:
-        return ends["whole"] and ends["whole"]["last"]
-    start, part = ends["broken"]["upto"] - ends["broken"]["words"], ends["broken"]["part"]
-    running = F.sum("size").over(W.partitionBy("part").orderBy("turn").rowsBetween(W.unboundedPreceding, 0)) + start
-    last = ordered.filter(F.col("part") == part).withColumn("upto", running).filter(F.col("upto") <= budget).agg(F.max("turn")).first()[0]
-    return last or (ends["whole"] and ends["whole"]["last"])
+    totals = ordered.groupBy("part").agg(F.sum("words").alias("words")).withColumn("upto", upto)
+    broken = totals.filter(F.col("upto") > budget).agg(F.min(F.struct("upto", "words", "part"))).first()[0]
+    if broken is None:
+        return None
+    running = F.sum("words").over(W.partitionBy("part").orderBy("turn").rowsBetween(W.unboundedPreceding, 0)) + (broken["upto"] - broken["words"])
+    inside = ordered.filter(F.col("part") == broken["part"]).withColumn("upto", running).filter(F.col("upto") > budget)
+    first = inside.agg(F.min(F.struct("turn", "upto", "words"))).first()[0]
+    return first["turn"], int(budget - (first["upto"] - first["words"]))
 
 
 def planned(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, repeats: int = 2, seed: int = 17, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -112,17 +124,23 @@ def planned(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float
     taken: the words that the mix takes, repeats counted; times: how often it takes the document as a whole.
     """
     queued, budget, rows = _queued(docs, {"doc_id": doc_id, "text": text, "source": source}, weights, share, repeats, seed)
-    last = _last_turn(in_order(queued, rows, repeats), budget)
-    taken, times = F.lit(0).cast("long"), F.lit(0)
-    if last is not None:
-        kind = queued.schema["doc_id"].dataType
-        end = F.struct(F.lit(float(last["finish"])).alias("finish"), F.lit(last["place"]).cast("long").alias("place"), F.lit(last["id"]).cast(kind).alias("id"), F.lit(last["repeat"]).alias("repeat"))
-        served = (F.col("size") > 0) & (F.col("target") > 0)
-        for repeat in range(repeats):
-            finish = F.lit(repeat) * F.col("source_size") + F.col("upto")
-            left = F.floor(F.col("target") - (finish - F.col("size"))).cast("long")
-            words = F.when(served & (_turn(repeat) <= end) & (finish <= F.col("target")), F.col("size")).when(served & (left > 0), F.least(left, "size")).otherwise(F.lit(0))
-            taken, times = taken + words, times + F.when(served & (words * 2 >= F.col("size")), 1).otherwise(0)
+    end = _end(in_order(queued, rows, repeats), budget)
+    served = (F.col("size") > 0) & (F.col("target") > 0)
+
+    def words_of(repeat: Column) -> Column:
+        """The words of a document's repeat that come before the cut."""
+        if end is None:
+            return F.col("size")
+        turn, left = end
+        kinds = {"finish": "double", "place": "long", "id": queued.schema["doc_id"].dataType, "source": queued.schema["source"].dataType, "repeat": "int", "packet": "int"}
+        last = F.struct(*[F.lit(turn[f]).cast(kind).alias(f) for f, kind in kinds.items()])
+        whole = F.size(F.filter(_packets(), lambda p: _turn(repeat, p) < last))
+        here = F.exists(_packets(), lambda p: _turn(repeat, p) == last)
+        return F.least(whole.cast("long") * PACKET, F.col("size")) + F.when(here, left).otherwise(0)
+
+    words = [F.when(served, words_of(F.lit(r))).otherwise(0) for r in range(repeats)]
+    taken = sum(words[1:], words[0])
+    times = sum([F.when(served & (w * 2 >= F.col("size")), 1).otherwise(0) for w in words], F.lit(0))
     return queued.select("doc_id", "source", "place", "size", "source_size", "target", taken.cast("long").alias("taken"), times.cast("int").alias("times"))
 
 

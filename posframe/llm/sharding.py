@@ -2,8 +2,9 @@
 
 A document's shard is the shortest prefix of its id's hash whose documents fit the byte limit together: where a bucket is
 too large, it alone splits on one more bit. Bucket sizes come from one grouped sum at a depth that leaves nearly all
-buckets small, rolled up towards the root; only buckets still too large there are summed again, some bits deeper. What is
-joined back is the directory, a row per slot, on a hash prefix, which no hot source or group of copies can skew.
+buckets small, rolled up a bit at a time towards the root, so that no task sees a whole level; only buckets still too
+large there are summed again, some bits deeper. What is joined back is the directory, a row per slot, on a hash prefix,
+which no hot source or group of copies can skew.
 
 Defined results
 ---------------
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from .shared import cut, fresh
 
 BITS, STEP = 60, 8
+#: Down to this level buckets are rolled up one level at a time; the 2^TOP buckets above are rolled up at once.
+TOP = 10
 SHARD_BYTES = 1 << 20
 
 
@@ -31,16 +34,31 @@ def hashed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     return docs.select(docs[doc_id].alias("doc_id"), F.coalesce(F.octet_length(docs[text]), F.lit(0)).cast("long").alias("n_bytes"), F.conv(F.substring(digest, 1, BITS // 4), 16, 10).cast("long").alias("hash"))
 
 
-def _directory(rows: DataFrame, start: int, depth: int, limit: int) -> DataFrame:
-    """(slot, depth, shard_bytes, shard_rows, fits): for each prefix of `depth` bits the shallowest bucket from `start` on that fits."""
-    slots = rows.groupBy(F.shiftright("hash", BITS - depth).alias("slot")).agg(F.sum("n_bytes").alias("bytes"), F.count("*").alias("rows"))
-    levels = cut(slots, "slots").select("*", F.explode(F.sequence(F.lit(start), F.lit(depth))).alias("level"))
-    levels = levels.withColumn("bucket", F.expr(f"shiftright(slot, {depth} - level)"))
-    bucket = W.partitionBy("level", "bucket")
-    sized = levels.select("slot", "level", F.sum("bytes").over(bucket).alias("bytes"), F.sum("rows").over(bucket).alias("rows"))
-    chosen = sized.groupBy("slot").agg(F.min(F.when(F.col("bytes") <= limit, F.struct("level", "bytes", "rows"))).alias("fit"), F.max(F.struct("level", "bytes", "rows")).alias("last"))
-    best = F.coalesce("fit", "last")
-    return chosen.select("slot", best["level"].alias("depth"), best["bytes"].alias("shard_bytes"), best["rows"].alias("shard_rows"), F.col("fit").isNotNull().alias("fits"))
+def _directory(rows: DataFrame, start: int, depth: int, limit: int, top: int = TOP) -> DataFrame:
+    """(slot, depth, shard_bytes, shard_rows, fits): for each prefix of `depth` bits the shallowest bucket from `start` on that fits.
+
+    A bucket that fits is a shard once its parent does not.
+    """
+    sums = (F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"))
+    level = cut(rows.groupBy(F.shiftright("hash", BITS - depth).alias("bucket")).agg(F.sum("n_bytes").alias("bytes"), F.count("*").alias("rows")), "slots")
+    done = level.filter(F.col("bytes") > limit).select("bucket", F.lit(depth).alias("level"), "bytes", "rows")
+    at = depth
+    while at > max(start, top):
+        parents = cut(level.groupBy(F.shiftright("bucket", 1).alias("parent")).agg(*sums), "bucket-level")
+        large = parents.filter(F.col("bytes") > limit).select("parent")
+        fitting = level.filter(F.col("bytes") <= limit).join(large, F.shiftright("bucket", 1) == F.col("parent"), "left_semi")
+        done = done.unionByName(fitting.select("bucket", F.lit(at).alias("level"), "bytes", "rows"))
+        level, at = parents.withColumnRenamed("parent", "bucket"), at - 1
+    # at most 2^top buckets, or those of one step, are left
+    levels = level.select("*", F.explode(F.sequence(F.lit(start), F.lit(at))).alias("level"))
+    ancestor = W.partitionBy("level", F.expr(f"shiftright(bucket, {at} - level)"))
+    sized = levels.select("bucket", "level", F.sum("bytes").over(ancestor).alias("bytes"), F.sum("rows").over(ancestor).alias("rows"))
+    best = F.min(F.when(F.col("bytes") <= limit, F.struct("level", "bytes", "rows"))).alias("best")
+    above = sized.groupBy("bucket").agg(best).filter("best is not null").select(F.expr(f"shiftright(bucket, {at} - best.level)").alias("bucket"), F.col("best.level").alias("level"), F.col("best.bytes").alias("bytes"), F.col("best.rows").alias("rows")).distinct()
+    done = cut(done.unionByName(above), "buckets")
+    first = F.expr(f"shiftleft(bucket, {depth} - level)")
+    slots = F.explode(F.sequence(first, first + F.expr(f"shiftleft(1L, {depth} - level)") - 1))
+    return done.select(slots.alias("slot"), F.col("level").alias("depth"), F.col("bytes").alias("shard_bytes"), F.col("rows").alias("shard_rows"), (F.col("bytes") <= limit).alias("fits"))
 
 
 def sharded(docs: DataFrame, limit: int = SHARD_BYTES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -62,8 +62,23 @@ def found(text: Column, kind: int, pattern: str, guard: str | None = None, keep:
 
 
 def apart(spans: Column, others: Column) -> Column:
-    """Those of spans that overlap none of others."""
-    return F.filter(spans, lambda s: ~F.exists(others, lambda o: (s["start"] < o["end"]) & (o["start"] < s["end"])))
+    """Those of spans that overlap none of others.
+
+    The others, sorted, stand in blocks as long as the root of their number; a span looks into the blocks that it reaches.
+    """
+    sorted_ = F.array_sort(F.transform(others, lambda o: F.struct(o["start"].alias("start"), o["end"].alias("end"))))
+    meet = lambda s, o: (s["start"] < o["end"]) & (o["start"] < s["end"])
+
+    def blocks(all_: Column) -> Column:
+        side = F.greatest(F.ceil(F.sqrt(F.size(all_))), F.lit(1)).cast("int")
+        starts = F.filter(F.transform(all_, lambda o, i: i), lambda i: i % side == 0)
+        parts = F.transform(starts, lambda i: F.slice(all_, i + 1, side))
+        return F.transform(parts, lambda p: F.struct(F.get(p, F.lit(0))["start"].alias("start"), F.array_max(F.transform(p, lambda o: o["end"])).alias("end"), p.alias("part")))
+
+    def free(reached: Column) -> Column:
+        return F.filter(spans, lambda s: ~F.exists(reached, lambda b: meet(s, b) & F.exists(b["part"], lambda o: meet(s, o))))
+
+    return F.when((F.size(spans) == 0) | (F.size(others) == 0), spans).otherwise(_let(sorted_, lambda all_: _let(blocks(all_), free)))
 
 
 def written(spans: Column, kinds: Sequence[str], by_start: bool) -> Column:

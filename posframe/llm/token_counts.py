@@ -67,7 +67,7 @@ def _counts(texts: list[str | None], count: Callable[[list[str]], list[int]], sp
     for i, text in enumerate(texts):
         for piece in splits(text, batch_bytes // 4) if split and len(text) > batch_bytes // 4 else (text,):
             batch.append((i, piece))
-            held += len(piece)
+            held += len(piece) if piece.isascii() else len(piece.encode())
             if held >= batch_bytes:
                 flush()
                 batch, held = [], 0

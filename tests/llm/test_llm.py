@@ -147,13 +147,53 @@ def test_mix(docs, empty):
         taken[r["source"]] += r["taken"]
     assert len(got) == len(rows())
     for s in sizes:
-        assert 0 <= want[s] - taken[s] < 1 + 1e-6
+        assert abs(want[s] - taken[s]) <= mix.PACKET
         assert sum(0 < r["taken"] % r["size"] for r in got if r["source"] == s and r["size"]) <= 1
     again = as_list(mix.planned(docs.repartition(5)))
     assert sorted(map(str, again)) == sorted(map(str, got))
     assert mix.planned(empty).collect() == []
 
 
+def queue_by_hand(light, target, size_of, budget):
+    """Words taken of each (id, source, size) row: packets of all documents in the order of finish times, until the budget ends."""
+    turns, upto = [], Counter()
+    for i, s, place, size in sorted(light, key=lambda x: (x[2], x[0], x[3])):
+        for repeat in range(2):
+            for k in range(0, size, mix.PACKET):
+                done = min(k + mix.PACKET, size)
+                turns.append(((repeat * size_of[s] + upto[s] + done) / target[s], place, i, repeat, k, s, done - k))
+        upto[s] += size
+    taken, left = Counter(), int(budget)
+    for *_, i, repeat, k, s, words in sorted(turns, key=lambda x: x[:5]):
+        took = min(words, left)
+        taken[i, s] += took
+        left -= took
+    return taken
+
+
+def test_mix_is_the_queue_cut_at_the_budget(spark):
+    r = random.Random(4)
+    rows = [(i, " ".join("w" * r.randint(1, 4) for _ in range(r.choice([0, 1, 3, 40, 129, 700, 3000]))), r.choice(["a", "b", "c", None])) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = as_list(mix.planned(df))
+    sizes = Counter()
+    for x in got:
+        sizes[x["source"]] += x["size"]
+    target = {x["source"]: x["target"] for x in got}
+    light = [(x["doc_id"], x["source"], x["place"], x["size"]) for x in got]
+    want = queue_by_hand(light, target, sizes, 1.5 * sum(sizes.values()))
+    assert {(x["doc_id"], x["source"]): x["taken"] for x in got if x["taken"]} == {k: n for k, n in want.items() if n}
+    assert sum(x["taken"] for x in got) == int(1.5 * sum(sizes.values()))
+
+
+def test_mix_follows_the_cut(docs, monkeypatch):
+    real = mix._end
+    before = {r["doc_id"]: r["taken"] for r in as_list(mix.planned(docs))}
+    monkeypatch.setattr(mix, "_end", lambda ordered, budget: real(ordered, budget / 2))
+    after = {r["doc_id"]: r["taken"] for r in as_list(mix.planned(docs))}
+    assert sum(after.values()) < 0.51 * sum(before.values())
+
+
 def test_mix_order_is_by_finish_time(docs):
     queued, _, n = mix._queued(docs, {"doc_id": "doc_id", "text": "text", "source": "source"}, (3, 1, 2), 1.5, 2, 17)
     parts = mix.in_order(queued, n, 2).groupBy("part").agg(F.min("turn.finish").alias("a"), F.max("turn.finish").alias("b")).orderBy("part").collect()
