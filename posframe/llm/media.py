@@ -5,17 +5,19 @@ filters on the image's integral give sixteen two-bit answers at each place: a 32
 the histogram of offsets at which they share a print; every offset with enough votes is then judged by the share of
 differing bits over the whole overlap, and all that pass are given.
 
-The catalogue (the known recordings) is the stated query set: its prints, taken at every phase of the hop so that a copy
-at any offset falls on frames of its own, go to the workers in blocks of at most BLOCK_PRINTS; every document meets every
-block through an index of prints, never pair by pair. Frames are computed for many recordings at once, a bounded number of
-samples at a time.
+The known recordings' prints, taken at every phase of the hop so that a copy at any offset falls on frames of its own, are
+a table with a row for each print and place. Documents are fingerprinted once. A filter of FILTER_BITS bits, whatever the
+catalogue's size, leaves the prints that the catalogue may have; these meet the table in a join, whose hot prints adaptive
+execution splits, and grouped counts are the votes. Only documents and known recordings with enough votes are compared
+bit by bit. Frames are computed for many recordings at once, a bounded number of samples at a time.
 
 Defined results
 ---------------
 * Null, empty or too short recordings have no prints and no alignment.
 * A WAV container is decoded (PCM of 8 or 16 bits, channels averaged); other bytes are taken as unsigned 8-bit PCM.
 * Equal votes: fewer bit errors, then the smallest catalogue id, then the smallest offset comes first. Null ids and repeated rows
-  are fingerprinted like any row; an empty table or catalogue gives empty results or no alignments.
+  are fingerprinted like any row; a known recording without an id is left out, a repeated one counts once; an empty table or
+  catalogue gives empty results or no alignments; other columns are neither read nor in the way.
 """
 
 from __future__ import annotations
@@ -31,9 +33,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ship
+from .shared import cut, ship
 
-BLOCK_PRINTS, SAMPLES_AT_ONCE = 1 << 20, 1 << 18
+SAMPLES_AT_ONCE = 1 << 18
+#: Bits of the filter that goes to the workers: 2 MB.
+FILTER_BITS = 1 << 24
 
 
 @dataclass(frozen=True)
@@ -157,72 +161,36 @@ def prints_of_all(recordings: list[bytes | None], chroma: Chroma) -> list[np.nda
     return out
 
 
-class Catalogue:
-    """Known recordings, indexed by print: which of them has it, at which phase and place."""
-
-    def __init__(self, ids: list[int], recordings: list[bytes], chroma: Chroma):
-        self.chroma, self.ids = chroma, []
-        self.prints: list[np.ndarray] = []
-        self.phase: list[int] = []
-        for phase in range(chroma.hop):
-            for i, p in zip(ids, prints_of_all([r[phase:] for r in recordings], chroma)):
-                if len(p):
-                    self.ids.append(i)
-                    self.prints.append(p)
-                    self.phase.append(phase)
-        every = np.concatenate(self.prints) if self.prints else np.zeros(0, np.uint32)
-        entry = np.repeat(np.arange(len(self.prints)), [len(p) for p in self.prints])
-        place = np.concatenate([np.arange(len(p)) for p in self.prints]) if self.prints else np.zeros(0, np.int64)
-        order = np.argsort(every, kind="stable")
-        self.sorted, self.entry, self.place = every[order], entry[order], place[order]
-        # a print of silence is everywhere and tells nothing
-        self.silence = int(chroma.prints(np.zeros((chroma.width, 12)))[0])
-
-    def align(self, prints: np.ndarray, least_votes: int = 2, most_errors: float = 0.1) -> list[tuple[int, int, int, float]]:
-        """(votes, id, offset in samples, share of differing bits) of every alignment that passes, the best first.
-
-        The offset is where the known recording begins in this one. Every offset of a known recording with least_votes or
-        more is judged by its bit errors. Offsets less than a hop from a better one of the same recording are the same passage,
-        seen through a neighbouring phase.
-        """
-        low, high = np.searchsorted(self.sorted, prints, "left"), np.searchsorted(self.sorted, prints, "right")
-        count = np.where(prints == self.silence, 0, high - low)
-        hits = np.flatnonzero(count)
-        if not len(hits):
-            return []
-        # index of the k-th catalogue place of each hit
-        runs = np.repeat(low[hits] - np.r_[0, count[hits].cumsum()[:-1]], count[hits]) + np.arange(count[hits].sum())
-        shift = np.repeat(hits, count[hits]) - self.place[runs]
-        keys, votes = np.unique(self.entry[runs].astype(np.int64) << 32 | (shift + (1 << 31)), return_counts=True)
-        found = []
-        for k in np.flatnonzero(votes >= least_votes):
-            entry, offset = int(keys[k] >> 32), int(keys[k] & 0xFFFFFFFF) - (1 << 31)
-            known = self.prints[entry]
-            start, end = max(0, offset), min(len(prints), offset + len(known))
-            errors = int(np.bitwise_count(prints[start:end] ^ known[start - offset : end - offset]).sum()) / (32 * (end - start))
-            if errors <= most_errors:
-                found.append((-int(votes[k]), errors, self.ids[entry], offset * self.chroma.hop - self.phase[entry]))
-        out, places = [], {}
-        for votes_, errors, i, offset in sorted(found):
-            if all(abs(offset - x) >= self.chroma.hop for x in places.setdefault(i, [])):
-                places[i].append(offset)
-                out.append((-votes_, i, offset, errors))
-        return out
-
+def catalogued(known: DataFrame, recording: Column, chroma: Chroma, known_id: str) -> DataFrame:
+    """(entry, item_id, phase, known): the prints of each known recording at each phase, as longs."""
 
-def catalogues(known: DataFrame, recording: Column, chroma: Chroma, known_id: str, block_prints: int = BLOCK_PRINTS) -> Iterator[Catalogue]:
-    """The known recordings in blocks whose prints number block_prints at most, or one recording."""
-    ids, held, prints = [], [], 0
-    for row in known.select(known[known_id].alias("i"), recording.alias("r")).filter("i is not null and r is not null").orderBy("i").toLocalIterator():
-        more = chroma.prints_of(len(row["r"])) * chroma.hop
-        if ids and prints + more > block_prints:
-            yield Catalogue(ids, held, chroma)
-            ids, held, prints = [], [], 0
-        ids.append(row["i"])
-        held.append(bytes(row["r"]))
-        prints += more
-    if ids:
-        yield Catalogue(ids, held, chroma)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, ids, recordings = (c.to_pylist() for c in batch.columns)
+            for phase in range(chroma.hop):
+                prints = prints_of_all([r[phase:] for r in recordings], chroma)
+                some = [i for i, p in enumerate(prints) if len(p)]
+                columns = [pa.array([rows[i] * chroma.hop + phase for i in some], pa.int64()), pa.array([ids[i] for i in some], pa.int64()), pa.array([phase] * len(some), pa.int32()), pa.array([prints[i].astype(np.int64) for i in some], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["entry", "item_id", "phase", "known"])
+
+    rows = known.select(known[known_id].cast("long").alias("item_id"), recording.cast("binary").alias("r")).filter("item_id is not null and r is not null").distinct()
+    return cut(rows.select(F.monotonically_increasing_id().alias("row"), "item_id", "r").mapInArrow(run, "entry long, item_id long, phase int, known array<long>"), "catalogue")
+
+
+def _passing(prints: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Which prints the filter lets pass."""
+    bit = (prints ^ prints >> 13) & (64 * len(words) - 1)
+    return (words[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
+def _filter_of(index: DataFrame) -> np.ndarray:
+    """FILTER_BITS bits as 64-bit words, set for the prints of the index; that many come to the driver, whatever the index has."""
+    bit = F.col("print").bitwiseXOR(F.shiftright("print", 13)).bitwiseAND(F.lit(FILTER_BITS - 1))
+    bits = index.select(bit.alias("bit")).distinct().select(F.shiftright("bit", 6).alias("at"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("word"))
+    words = bits.groupBy("at").agg(F.bit_or("word").alias("word")).toPandas()
+    out = np.zeros(FILTER_BITS // 64, np.uint64)
+    out[words["at"].to_numpy(np.int64)] = words["word"].to_numpy(np.int64).view(np.uint64)
+    return out
 
 
 def fingerprinted(rows: DataFrame, recording: Column, chroma: Chroma = Chroma(), doc_id: str = "doc_id") -> DataFrame:
@@ -240,34 +208,50 @@ def fingerprinted(rows: DataFrame, recording: Column, chroma: Chroma = Chroma(),
 def aligned(rows: DataFrame, recording: Column, known: DataFrame, known_recording: Column, chroma: Chroma = Chroma(), most_errors: float = 0.1, least_votes: int = 2, doc_id: str = "doc_id", known_id: str = "item_id") -> DataFrame:
     """One row per recording: doc_id, n_prints, prints_sha256, item_id, votes, offset, bit_errors, links.
 
-    links: all alignments that share least_votes prints or more with most_errors differing bits at most, the best first;
+    links: all alignments that share least_votes prints or more with most_errors differing bits at most, the best first. The
+    offset is where the known recording begins in this one, in samples; one less than a hop from a better one of the same
+    recording is the same passage and left out.
     item_id and what follows are the first one's, null where there is none.
     """
     ship(rows.sparkSession)
+    catalogue = catalogued(known, known_recording, chroma, known_id)
+    # a print of silence is everywhere and tells nothing
+    silence = int(chroma.prints(np.zeros((chroma.width, 12)))[0])
+    index = catalogue.select("entry", F.posexplode("known").alias("at", "print")).filter(F.col("print") != silence)
+    index = cut(index, "print-index")
+    words = _filter_of(index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = [p.astype(np.int64) for p in prints_of_all(batch.column(2).to_pylist(), chroma)]
+            hits = [np.flatnonzero(_passing(p, words) & (p != silence)) for p in prints]
+            kept = [p if len(h) >= least_votes else None for p, h in zip(prints, hits)]
+            hashes = [hashlib.sha256(p.astype("<u4").tobytes()).hexdigest() for p in prints]
+            columns = [batch.column(0), batch.column(1), pa.array(map(len, prints), pa.int64()), pa.array(hashes, pa.string()), pa.array([h if p is not None else [] for p, h in zip(kept, hits)], pa.list_(pa.int32())), pa.array(kept, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "n_prints", "prints_sha256", "hits", "prints"])
+
     given = rows.select(rows[doc_id].cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), recording.cast("binary").alias("recording"))
-    names = ["doc_id", "row", "n_prints", "prints_sha256", "links"]
-    link = pa.struct([("unvoted", pa.int64()), ("bit_errors", pa.float64()), ("item_id", pa.int64()), ("offset", pa.int64())])
-    schema = "doc_id long, row long, n_prints long, prints_sha256 string, links array<struct<unvoted: long, bit_errors: double, item_id: long, offset: long>>"
-
-    def against(catalogue: Catalogue | None):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                prints = prints_of_all(batch.column(2).to_pylist(), chroma)
-                found = [catalogue.align(p, least_votes, most_errors) if catalogue is not None and len(p) else [] for p in prints]
-                links = [[{"unvoted": -votes, "bit_errors": errors, "item_id": i, "offset": offset} for votes, i, offset, errors in f] for f in found]
-                hashes = [hashlib.sha256(p.astype("<u4").tobytes()).hexdigest() for p in prints]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(len, prints), pa.int64()), pa.array(hashes, pa.string()), pa.array(links, pa.list_(link))], names=names)
-
-        return run
-
-    blocks = list(catalogues(known, known_recording, chroma, known_id)) or [None]
-    parts = [given.mapInArrow(against(block), schema) for block in blocks]
-    out = parts[0]
-    if len(parts) > 1:
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        firsts = [F.min(c).alias(c) for c in ("doc_id", "n_prints", "prints_sha256")]
-        out = out.groupBy("row").agg(*firsts, F.array_sort(F.flatten(F.collect_list("links"))).alias("links"))
+    docs = cut(given.mapInArrow(run, "doc_id long, row long, n_prints long, prints_sha256 string, hits array<int>, prints array<long>"), "prints")
+
+    hits = docs.select("row", "prints", F.explode("hits").alias("place")).select("row", "place", F.get("prints", F.col("place")).alias("print"))
+    votes = hits.join(index, "print").groupBy("row", "entry", (F.col("place") - F.col("at")).alias("shift")).agg(F.count("*").alias("votes"))
+    votes = cut(votes.filter(F.col("votes") >= least_votes), "votes")
+    met = votes.join(catalogue, "entry").join(docs.select("row", "prints", "n_prints"), "row")
+    start, end = F.greatest("shift", F.lit(0)), F.least(F.col("n_prints"), F.col("shift") + F.size("known")).cast("int")
+    differing = F.zip_with(F.slice("prints", start + 1, end - start), F.slice("known", start - F.col("shift") + 1, end - start), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    errors = F.aggregate(differing, F.lit(0), lambda n, x: n + x) / (32 * (end - start))
+    judged = met.select("row", (-F.col("votes")).alias("unvoted"), errors.alias("bit_errors"), "item_id", (F.col("shift").cast("long") * chroma.hop - F.col("phase")).alias("offset"))
+    found = judged.filter(F.col("bit_errors") <= most_errors).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("unvoted", "bit_errors", "item_id", "offset"))).alias("found"))
+
+    def apart(links: Column, link: Column) -> Column:
+        """links and the next one, unless it is the same passage as a better one, seen through a neighbouring phase."""
+        same = F.exists(links, lambda x: (x["item_id"] == link["item_id"]) & (F.abs(x["offset"] - link["offset"]) < chroma.hop))
+        return F.when(same, links).otherwise(F.concat(links, F.array(link)))
+
+    kind = "array<struct<unvoted: long, bit_errors: double, item_id: long, offset: long>>"
+    thin = F.aggregate(F.col("found").cast(kind), F.array().cast(kind), apart)
+    out = docs.select("doc_id", F.col("row").alias("of"), "n_prints", "prints_sha256").join(cut(found.select("row", thin.alias("links")), "links"), F.col("of") == F.col("row"), "left")
+    out = out.withColumn("links", F.coalesce("links", F.array().cast(kind)))
     best = F.get("links", F.lit(0))
     links = F.transform("links", lambda x: F.struct(x["item_id"].alias("item_id"), (-x["unvoted"]).alias("votes"), x["offset"].alias("offset"), x["bit_errors"].alias("bit_errors")))
     return out.select("doc_id", "n_prints", "prints_sha256", best["item_id"].alias("item_id"), (-best["unvoted"]).alias("votes"), best["offset"].alias("offset"), best["bit_errors"].alias("bit_errors"), links.alias("links"))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import text_of
-from .spans import apart, count_of, found, written
+from .spans import apart, count_of, found, let, written
 
 KINDS = ("email", "ip", "card", "phone", "iban", "national_id", "local_phone")
 EMAIL, IP, CARD, PHONE, IBAN, NATIONAL_ID, LOCAL_PHONE = range(7)
@@ -97,18 +97,25 @@ def _by_kind(values: dict, kind: Column, default) -> Column:
 
 
 def scored(text: Column, spans: Column) -> Column:
-    """The spans with score: pattern, checksum and context words on either side."""
+    """The spans with score: pattern, checksum and context words on either side.
 
-    def score(s: Column) -> Column:
-        before = F.substring(text, F.greatest(s["start"] - CONTEXT + 1, F.lit(1)), F.least(s["start"], F.lit(CONTEXT)))
-        around = F.lower(F.concat(before, F.lit(" "), F.substring(text, s["end"] + 1, F.lit(CONTEXT))))
+    Context is taken from the text in four bytes a character, where a place is found without a walk from the start.
+    """
+
+    def score(wide: Column, s: Column) -> Column:
+        part = lambda start, n: F.decode(F.substring(wide, 4 * start + 1, 4 * n), "UTF-32")
+        first = F.greatest(s["start"] - CONTEXT, F.lit(0))
+        around = F.lower(F.concat(part(first, s["start"] - first), F.lit(" "), part(s["end"], F.lit(CONTEXT))))
         context = F.lit(False)
         for kind, words in NEAR.items():
             context = context | ((s["kind"] == kind) & F.regexp(around, F.lit(words)))
         checksum = s["kind"].isin(*CHECKED)
         return _by_kind(WORTH, s["kind"], 0.0) + F.when(checksum, CHECKSUM_WORTH).otherwise(0.0) + F.when(context, CONTEXT_WORTH).otherwise(0.0)
 
-    return F.transform(spans, lambda s: F.struct(*[s[k].alias(k) for k in ("kind", "start", "end", "match")], F.least(score(s), F.lit(1.0)).alias("score")))
+    def all_scored(wide: Column) -> Column:
+        return F.transform(spans, lambda s: F.struct(*[s[k].alias(k) for k in ("kind", "start", "end", "match")], F.least(score(wide, s), F.lit(1.0)).alias("score")))
+
+    return F.when(F.size(spans) > 0, let(F.encode(text, "UTF-32"), all_scored)).otherwise(all_scored(F.lit(b"")))
 
 
 def findings(docs: DataFrame, least: float = LEAST, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

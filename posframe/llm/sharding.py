@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .shared import cut, fresh
 
 BITS, STEP = 60, 8
-#: Down to this level buckets are rolled up one level at a time; the 2^TOP buckets above are rolled up at once.
+#: Buckets are rolled up one level at a time until at most 2^TOP of them have an ancestor in common, and these at once.
 TOP = 10
 SHARD_BYTES = 1 << 20
 
@@ -43,13 +43,12 @@ def _directory(rows: DataFrame, start: int, depth: int, limit: int, top: int = T
     level = cut(rows.groupBy(F.shiftright("hash", BITS - depth).alias("bucket")).agg(F.sum("n_bytes").alias("bytes"), F.count("*").alias("rows")), "slots")
     done = level.filter(F.col("bytes") > limit).select("bucket", F.lit(depth).alias("level"), "bytes", "rows")
     at = depth
-    while at > max(start, top):
+    while at - start > top:
         parents = cut(level.groupBy(F.shiftright("bucket", 1).alias("parent")).agg(*sums), "bucket-level")
         large = parents.filter(F.col("bytes") > limit).select("parent")
         fitting = level.filter(F.col("bytes") <= limit).join(large, F.shiftright("bucket", 1) == F.col("parent"), "left_semi")
         done = done.unionByName(fitting.select("bucket", F.lit(at).alias("level"), "bytes", "rows"))
         level, at = parents.withColumnRenamed("parent", "bucket"), at - 1
-    # at most 2^top buckets, or those of one step, are left
     levels = level.select("*", F.explode(F.sequence(F.lit(start), F.lit(at))).alias("level"))
     ancestor = W.partitionBy("level", F.expr(f"shiftright(bucket, {at} - level)"))
     sized = levels.select("bucket", "level", F.sum("bytes").over(ancestor).alias("bytes"), F.sum("rows").over(ancestor).alias("rows"))

@@ -2,8 +2,10 @@
 
 1. Fingerprints of each document: majority bits of the XXH64 hashes of its word shingles (numpy in Arrow batches).
 2. Distinct fingerprints only, each with its smallest id; copies never multiply what follows.
-3. A vantage-point tree fitted on a bounded sample routes every fingerprint to the shard that owns it and, where the
-   triangle inequality leaves a boundary within reach, to the neighbouring shards as a visitor.
+3. A vantage-point tree routes every fingerprint to the shard that owns it and, where the triangle inequality leaves a
+   boundary within reach, to the neighbouring shards as a visitor. Its upper levels are fitted on a bounded sample; below
+   them vantage points are drawn by rule and the radius is the median distance of random bits, so that a tree of any
+   depth fits the driver and a shard does not grow with the corpus.
 4. In each shard owners are held, visitors stream by; inside, further vantage points prune before blocks are compared
    exactly. A shard reports a spanning forest of its links, never all pairs.
 5. The forests' connected components give each document the smallest id it reaches.
@@ -53,9 +55,9 @@ class View:
 LINKED = (View(3, 2),)
 #: A text whose five-word shingles are similar to 0.8 or more, as near as 1,024 bits can tell.
 SIMILAR = (View(1, 5), View(5, 165, 1024))
-#: Fingerprints a shard should own, the most levels of the tree, and the sample's fingerprints for each shard. Each level
-#: multiplies the visitors, by more the wider the reach; inside a shard a level costs no shuffle, so shards are large.
-SHARD, LEVELS, PER_SHARD = 1 << 15, 16, 64
+#: Bytes of the fingerprints that a shard should own, the fingerprints of the sample, and how many of them a node needs to
+#: be fitted. Each level multiplies the visitors, by more the wider the reach; inside a shard a level costs no shuffle.
+SHARD_BYTES, SAMPLE, PER_NODE = 1 << 17, 1 << 16, 64
 #: Comparisons made at once, and points of a shard that all others meet first.
 BLOCK, LEADERS = 1 << 18, 64
 #: Visitors of a shard that are searched for together.
@@ -132,12 +134,19 @@ class VPTree:
 
     def __init__(self, sample: np.ndarray, levels: int):
         self.levels = levels
-        self.vantage = np.zeros(1 << levels, np.uint64)
-        self.radius = np.full(1 << levels, 64, np.int16)  # 64: everything is left
+        self.fitted = min(levels, max(1, len(sample) // PER_NODE).bit_length())
+        self.vantage = np.zeros(1 << self.fitted, np.uint64)
+        self.radius = np.full(1 << self.fitted, 64, np.int16)  # 64: everything is left
         self._fit(np.unique(sample), 1)
 
+    def _at(self, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The vantage points and radii of nodes, fitted or by rule."""
+        known = node < 1 << self.fitted
+        here = np.where(known, node, 0)
+        return np.where(known, self.vantage[here], _mixed(node.astype(np.uint64), 1)), np.where(known, self.radius[here], 31)
+
     def _fit(self, points: np.ndarray, node: int) -> None:
-        if node >= 1 << self.levels or len(points) < 2:
+        if node >= 1 << self.fitted or len(points) < 2:
             return
         self.vantage[node] = vantage = _vantage(points)
         d = _distances(points, vantage)
@@ -155,7 +164,8 @@ class VPTree:
         """
         at, node, own = np.arange(len(points)), np.ones(len(points), np.int64), np.ones(len(points), bool)
         for _ in range(self.levels):
-            d, radius = _distances(points[at], self.vantage[node]), self.radius[node]
+            vantage, radius = self._at(node)
+            d = _distances(points[at], vantage)
             inside = d <= radius
             left, right = inside | ~own & (d - reach <= radius), ~inside | (d + reach > radius)
             at, node, own = np.concatenate([at[left], at[right]]), np.concatenate([2 * node[left], 2 * node[right] + 1]), np.concatenate([(own & inside)[left], (own & ~inside)[right]])
@@ -342,12 +352,15 @@ def _forests(views: tuple[View, ...]):
     return run
 
 
-def links(distinct: DataFrame, views: tuple[View, ...] = LINKED, shard: int = SHARD) -> DataFrame:
-    """distinct (fp, rest, node) -> (a, b): links that connect all nodes within reach of each other, directly or by steps."""
+def links(distinct: DataFrame, views: tuple[View, ...] = LINKED, shard: int | None = None) -> DataFrame:
+    """distinct (fp, rest, node) -> (a, b): links that connect all nodes within reach of each other, directly or by steps.
+
+    shard: the fingerprints a shard should own, by default SHARD_BYTES of them.
+    """
     ship(distinct.sparkSession)
-    n = distinct.count()
-    levels = max(0, min(LEVELS, (max(1, n // shard) - 1).bit_length()))
-    sample = distinct.orderBy(F.xxhash64("node"), "node").limit(min(n // 4, PER_SHARD << levels)).select("fp").toPandas()["fp"].to_numpy(np.int64) if levels else np.zeros(0, np.int64)
+    n, shard = distinct.count(), shard or SHARD_BYTES // (8 + sum(v.bits // 8 for v in views))
+    levels = max(1, (max(1, n // shard) - 1).bit_length())
+    sample = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(min(SAMPLE, PER_NODE << levels)).toPandas()["fp"].to_numpy(np.int64)
     tree = VPTree(sample.view(np.uint64), levels)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,16 +377,16 @@ def links(distinct: DataFrame, views: tuple[View, ...] = LINKED, shard: int = SH
 def grouped(docs: DataFrame, views: tuple[View, ...] = LINKED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, mark, fp, component_id (the smallest id that its links reach, itself included).
 
-    With one view a node is its fingerprint; with more, a 64-bit hash of all views.
+    A node is a number given to each different fingerprint, all views together, once they are written.
     """
-    prints = fingerprints(docs, views, doc_id, text)
-    prints = cut(prints.withColumn("node", F.col("fp") if len(views) == 1 else F.xxhash64("fp", "rest")), "fingerprints")
-    distinct = cut(prints.groupBy("node", "fp", "rest").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    prints = cut(fingerprints(docs, views, doc_id, text), "fingerprints")
+    distinct = prints.groupBy("fp", "rest").agg(F.min("doc_id").alias("least"))
+    distinct = cut(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct-fingerprints")
     roots = cut(components(links(distinct, views)).withColumnRenamed("node", "member"), "roots")
-    rooted = distinct.join(roots, F.col("node") == F.col("member"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    rooted = distinct.join(roots, F.col("node") == F.col("member"), "left").select("fp", "rest", "least", F.coalesce("root", "node").alias("root"))
     smallest = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "components")
-    by_node = cut(rooted.join(smallest, "root").select("node", "component_id"), "component-of-fingerprint")
-    return prints.select("doc_id", "mark", "fp", "node").join(by_node, "node").select("doc_id", "mark", "fp", "component_id")
+    by_print = cut(rooted.join(smallest, "root").select("fp", "rest", "component_id"), "component-of-fingerprint")
+    return prints.join(by_print, ["fp", "rest"]).select("doc_id", "mark", "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame, views: tuple[View, ...] = SIMILAR, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

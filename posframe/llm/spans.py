@@ -20,7 +20,7 @@ def no_spans() -> Column:
     return F.array().cast(SPANS)
 
 
-def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
     """f of a value computed once, also inside the functions of array expressions, which else compute it at each call."""
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
@@ -58,7 +58,7 @@ def found(text: Column, kind: int, pattern: str, guard: str | None = None, keep:
         in_block = lambda start, i: F.aggregate(block(all_, i), F.struct(start.alias("at"), no_spans().alias("spans")), step, lambda state: state["spans"])
         return F.flatten(F.transform(starts, in_block))
 
-    return F.when(F.regexp(text, F.lit(guard or pattern)), _let(pieces, spans_of)).otherwise(no_spans())
+    return F.when(F.regexp(text, F.lit(guard or pattern)), let(pieces, spans_of)).otherwise(no_spans())
 
 
 def apart(spans: Column, others: Column) -> Column:
@@ -78,7 +78,7 @@ def apart(spans: Column, others: Column) -> Column:
     def free(reached: Column) -> Column:
         return F.filter(spans, lambda s: ~F.exists(reached, lambda b: meet(s, b) & F.exists(b["part"], lambda o: meet(s, o))))
 
-    return F.when((F.size(spans) == 0) | (F.size(others) == 0), spans).otherwise(_let(sorted_, lambda all_: _let(blocks(all_), free)))
+    return F.when((F.size(spans) == 0) | (F.size(others) == 0), spans).otherwise(let(sorted_, lambda all_: let(blocks(all_), free)))
 
 
 def written(spans: Column, kinds: Sequence[str], by_start: bool) -> Column:
