@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..model import POS, EngineError
 from ..operators.position import numbered
+from ..plans.blocks import BLOCK
 
 
 class Frame:
@@ -119,7 +120,7 @@ class Order:
         df = self.frame.plan(*self.by)
         if self.limit is not None:
             df = df.orderBy(*order).limit(self.limit)
-        return numbered(df.withColumn("_was", F.col(self.frame.pos)).drop(POS), *[o if i < len(self.by) else F.col("_was").asc() for i, o in enumerate(order)], out=POS)
+        return numbered(df.withColumn("_was", F.col(self.frame.pos)).drop(POS), *[o if i < len(self.by) else F.col("_was").asc() for i, o in enumerate(order)], out=POS, ranges=1 if self.limit is not None and self.limit <= BLOCK else None)
 
     def frame_(self) -> Frame:
         return Frame(replace(self, frame=Frame(self.frame.df, self.frame.pos, self.frame.key, self.frame.names)).sorted(), POS, self.frame.key, self.frame.names)

@@ -90,12 +90,17 @@ def depth(parents: DataFrame, pos: str = POS, parent: str = "v", out: str = "dep
 
 
 def closure(edges: DataFrame, start: DataFrame, limit: int = 10_000) -> DataFrame:
-    """All nodes (n) that edges (a, b) reach from the start nodes (n), the start among them; breadth first."""
+    """All nodes (n) that edges (a, b) reach from the start nodes (n), the start among them; breadth first.
+
+    Each frontier is written once; every EVERY rounds those seen so far become one table.
+    """
     seen = frontier = checkpointed(start.select("n").distinct())
-    for _ in range(limit):
+    for i in range(limit):
         step = frontier.join(edges, F.col("n") == F.col("a")).select(F.col("b").alias("n")).distinct()
         frontier = checkpointed(step.join(seen, "n", "left_anti"))
         if frontier.isEmpty():
             return seen
-        seen = checkpointed(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)
+        if (i + 1) % EVERY == 0:
+            seen = checkpointed(seen)
     raise EngineError("limit", f"{limit} rounds")

@@ -9,16 +9,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..model import POS, EngineError, Keyed, columns_of, same_kinds, zero_of
+from ..plans.lineage import checkpointed
 
 
 def _first_of(k: DataFrame, key: str, pos: str) -> DataFrame:
-    """One row per key, the first by position where there is one; merged before the shuffle."""
+    """One row per key, the first by position, or without positions the least one; merged before the shuffle."""
     rest = [c for c in columns_of(k) if c != key]
     row = F.struct(*rest) if rest else F.struct(F.lit(1).alias("_none"))
-    picked = F.min_by(row, pos) if pos in k.columns else F.first(row)
+    picked = F.min_by(row, pos) if pos in k.columns else F.min(row)
     return k.groupBy(key).agg(picked.alias("_row"))
 
 
@@ -47,7 +49,7 @@ def upsert(k1: Keyed, k2: Keyed, pos: str = POS) -> Keyed:
     """k2's rows put into k1 by key: replaced where the key exists, appended after k1's rows where not.
 
     Columns that only k2 has are dropped; k2 must have all value columns of k1, or only replace what it has where no row
-    is appended. Of equal keys in k2 the last wins.
+    is appended. Of equal keys in k2 the last wins, or without positions the greatest row.
     """
     if k1.key != k2.key:
         raise EngineError("length", "keys differ")
@@ -55,7 +57,7 @@ def upsert(k1: Keyed, k2: Keyed, pos: str = POS) -> Keyed:
     same_kinds(k1.df, k2.df, [k1.key, *shared])
     ordered = pos in k1.df.columns and pos in k2.df.columns
     row = F.struct(*[F.col(c) for c in shared], *([F.col(pos)] if ordered else []), F.lit(True).alias("_in"))
-    right = k2.df.groupBy(F.col(k2.key).alias("_key")).agg((F.max_by(row, pos) if ordered else F.last(row)).alias("_new"), *([F.min(pos).alias("_first")] if ordered else []))
+    right = k2.df.groupBy(F.col(k2.key).alias("_key")).agg((F.max_by(row, pos) if ordered else F.max(row)).alias("_new"), *([F.min(pos).alias("_first")] if ordered else []))
     joined = k1.df.withColumn("_old", F.lit(True)).join(right, F.col(k1.key) == F.col("_key"), "full")
     fresh = F.col("_old").isNull()
     if len(shared) < len(k1.values):
@@ -118,13 +120,23 @@ def within(left: DataFrame, right: DataFrame, x: str, y: str, radius: float) ->
 
 
 def as_of(left: DataFrame, right: DataFrame, time: str, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """Extension: each left row with the values of the latest right row of its keys at or before its time."""
-    from pyspark.sql import Window as W
+    """Extension: each left row with the values of the latest right row of its keys at or before its time.
 
+    The rows of both sides are ordered once, in ranges of (keys, time). A range finds the latest rows inside itself; what
+    was last before it comes from the last right rows of the ranges, a few rows each, so a hot key is many ranges.
+    """
     both = left.select("*", *[F.lit(None).cast(right.schema[v].dataType).alias(f"_{v}") for v in values], F.lit(1).alias("_side")).unionByName(
         right.select(*keys, time, *[F.col(v).alias(f"_{v}") for v in values], F.lit(0).alias("_side")), allowMissingColumns=True
     )
-    w = W.partitionBy(*keys).orderBy(time, "_side").rowsBetween(W.unboundedPreceding, 0)
-    row = F.last(F.when(F.col("_side") == 0, F.struct(*[F.col(f"_{v}") for v in values])), ignorenulls=True).over(w)
-    out = both.withColumn("_row", row).filter("_side = 1")
+    ranged = checkpointed(both.repartitionByRange(*keys, time, "_side").withColumn("_range", F.spark_partition_id()))
+    own = F.when(F.col("_side") == 0, F.struct(*[F.col(f"_{v}") for v in values]))
+    upto = (W.unboundedPreceding, 0)
+    inside = F.last(own, ignorenulls=True).over(W.partitionBy(*keys, "_range").orderBy(time, "_side").rowsBetween(*upto))
+    ends = ranged.groupBy(*keys, "_range").agg(F.max_by(own, F.when(F.col("_side") == 0, F.col(time))).alias("_end"))
+    before = F.last("_end", ignorenulls=True).over(W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
+    ends = ends.select(*[F.col(k).alias(f"_of_{i}") for i, k in enumerate(keys)], F.col("_range").alias("_of"), before.alias("_before"))
+    met = F.col("_range") == F.col("_of")
+    for i, k in enumerate(keys):
+        met = met & F.col(k).eqNullSafe(F.col(f"_of_{i}"))
+    out = ranged.withColumn("_row", inside).filter("_side = 1").join(ends, met, "left").withColumn("_row", F.coalesce("_row", "_before"))
     return out.select(*left.columns, *[F.col("_row").getField(f"_{v}").alias(v) for v in values])

@@ -9,22 +9,20 @@ from pyspark.sql import functions as F
 from ..model import POS, EngineError
 from ..plans.lineage import checkpointed
 
-#: Up to this estimate one task numbers all rows; above it, ranges are numbered and their counts added up.
-SMALL_BYTES = 64 << 20
-RANGES = 256
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of a plan's size; no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def numbered(df: DataFrame, *order: Column | str, out: str = POS, ranges: int | None = None) -> DataFrame:
-    """df with `out`, contiguous from 0 in the given order; the order should have no ties."""
+    """df with `out`, contiguous from 0 in the given order; the order should have no ties.
+
+    Rows are dealt into ranges of the order (by default as many as the session's shuffle partitions), numbered in each,
+    and the counts of the ranges before are added: no task sees the whole table, whatever its size. ranges=1 is for rows
+    whose number the caller bounds, as a top-k does; one task numbers them.
+    """
     order = tuple(F.col(c) if isinstance(c, str) else c for c in order)
-    if ranges is None and estimated_bytes(df) <= SMALL_BYTES:
+    if ranges == 1:
         return df.withColumn(out, (F.row_number().over(W.orderBy(*order)) - 1).cast("bigint"))
-    ranged = checkpointed(df.repartitionByRange(ranges or RANGES, *order).withColumn("_range", F.spark_partition_id()))
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = checkpointed(df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()))
     counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
     offsets = counts.select(F.col("_range").alias("_of"), F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     inside = F.row_number().over(W.partitionBy("_range").orderBy(*order)) - 1

@@ -1,9 +1,10 @@
 """Running and sliding functions over a whole ordered table without a single-task window.
 
-A window without PARTITION BY moves all rows to one task. Rows that carry a contiguous position fall into blocks of
-BLOCK rows instead. A running fold is three steps: fold each block, fold the block totals (a row per block), and add the
-offset inside each block. A sliding frame needs only the rows around it: each block gets copies of the few rows that its
-frames reach into, which are dropped again.
+A window without PARTITION BY moves all rows to one task, and one by keys all rows of a hot key. Rows that carry a
+contiguous position fall into blocks of BLOCK rows instead, within their keys. A running fold is three steps: fold each
+block, fold the block totals (a row per block), and add the offset inside each block. A sliding frame needs only the rows
+around it: each block gets copies of the rows that its frames reach into, however many blocks that are, which are dropped
+again. With keys, frames count the rows of a key, which are numbered by a running count first.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ FOLDS: dict[str, tuple[Callable[[Column], Column], Callable[[Column, Column], Co
 
 
 def running(df: DataFrame, value: Column | str, fold: str, out: str, *, pos: str = POS, keys: Sequence[str] = (), seed=None, block: int = BLOCK) -> DataFrame:
-    """df with `out`, the inclusive running fold of value in the order of pos; per key where keys are given.
+    """df with `out`, the inclusive running fold of value in the order of pos, an integer; per key where keys are given.
 
     seed: a value that the fold starts from; it is not a result of its own.
     """
@@ -39,29 +40,38 @@ def running(df: DataFrame, value: Column | str, fold: str, out: str, *, pos: str
     value = F.col(value) if isinstance(value, str) else value
     seeded = (lambda c: c) if seed is None else (lambda c: combine(F.lit(seed), c))
     upto = (W.unboundedPreceding, W.currentRow)
-    if keys:
-        return df.withColumn(out, seeded(aggregate(value).over(W.partitionBy(*keys).orderBy(pos).rowsBetween(*upto))))
     split = df.withColumn("_block", F.expr(f"`{pos}` div {block}"))
-    totals = split.groupBy("_block").agg(aggregate(value).alias("_total"))
+    totals = split.groupBy(*keys, "_block").agg(aggregate(value).alias("_total"))
     before = aggregate(F.col("_total")) if fold != "count" else F.sum("_total")
-    offsets = totals.select(F.col("_block").alias("_of"), before.over(W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)).alias("_before"))
-    inside = aggregate(value).over(W.partitionBy("_block").orderBy(pos).rowsBetween(*upto))
-    joined = split.withColumn(out, inside).join(offsets, F.col("_block") == F.col("_of"))
+    upper = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    offsets = totals.select(*[F.col(k).alias(f"_of_{i}") for i, k in enumerate(keys)], F.col("_block").alias("_of"), before.over(upper).alias("_before"))
+    inside = aggregate(value).over(W.partitionBy(*keys, "_block").orderBy(pos).rowsBetween(*upto))
+    met = F.col("_block") == F.col("_of")
+    for i, k in enumerate(keys):
+        met = met & F.col(k).eqNullSafe(F.col(f"_of_{i}"))
+    joined = split.withColumn(out, inside).join(offsets, met)
     total = F.when(F.col("_before").isNull(), F.col(out)).when(F.col(out).isNull(), F.col("_before")).otherwise(combine(F.col("_before"), F.col(out)))
-    return joined.withColumn(out, seeded(total)).drop("_block", "_of", "_before")
+    return joined.withColumn(out, seeded(total)).drop("_block", "_of", "_before", *[f"_of_{i}" for i in range(len(keys))])
 
 
 def framed(df: DataFrame, columns: Mapping[str, Callable[[WindowSpec], Column]], before: int, after: int, *, pos: str = POS, keys: Sequence[str] = (), block: int = BLOCK) -> DataFrame:
     """df with further columns, each a function of the window that orders rows by pos and reaches `before` and `after`.
 
-    The functions may take lag, lead and rows between -before and after; pos must be contiguous where no keys are given.
+    The functions may take lag, lead and rows between -before and after; pos is an integer, contiguous where no keys are
+    given. A row is copied to every block in which a frame reaches it.
     """
     if keys:
-        w = W.partitionBy(*keys).orderBy(pos)
-        return df.select("*", *[f(w).alias(name) for name, f in columns.items()])
-    at, home = F.col(pos) % block, F.expr(f"`{pos}` div {block}")
-    homes = F.array_compact(F.array(home, F.when(at >= block - before, home + 1), F.when(at < after, home - 1)))
-    spread = df.select("*", home.alias("_home"), F.explode(homes).alias("_block"))
-    w = W.partitionBy("_block").orderBy(pos)
+        numbered = running(df, F.lit(1), "count", "_nth", pos=pos, keys=keys, block=block)
+        made = _framed(numbered, columns, before, after, "_nth", keys, block)
+        return made.drop("_nth")
+    return _framed(df, columns, before, after, pos, (), block)
+
+
+def _framed(df: DataFrame, columns: Mapping[str, Callable[[WindowSpec], Column]], before: int, after: int, pos: str, keys: Sequence[str], block: int) -> DataFrame:
+    place = F.col(pos).cast("long")
+    of = lambda p: F.floor(p / F.lit(block)).cast("long") if block > 1 else p
+    homes = F.sequence(of(F.greatest(place - after, F.lit(0))), of(place + before))
+    spread = df.select("*", of(place).alias("_home"), F.explode(homes).alias("_block"))
+    w = W.partitionBy(*keys, "_block").orderBy(pos)
     out = spread.select("*", *[f(w).alias(name) for name, f in columns.items()])
     return out.filter("_block = _home").drop("_block", "_home")

@@ -7,7 +7,6 @@ with watermarks, sessions and deduplication in a watermark are extensions.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -16,9 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
 
-from ..model import Keyed
-from ..operators import join
-
 
 def listen(spark: SparkSession, path: str, schema: str | StructType, format_: str = "parquet", files_per_batch: int | None = None) -> DataFrame:
     """A stream of the files that arrive in a folder."""
@@ -56,37 +52,62 @@ class Hooks(StreamingQueryListener):
 class KeyedStore:
     """A keyed table on shared storage that batches are upserted into, in order.
 
-    Each batch writes a new version beside the last and then points to it, so that readers see whole versions and a batch
-    that is tried again replaces its own version: exactly once.
+    A batch writes only its own rows, the last of each key: a delta, named by the batch's number, so that a batch that is
+    tried again replaces its own. The table is the newest row of each key over the base and the deltas since. Every EVERY
+    batches they are merged into a new base, and what it replaces is removed one merge later, when no reader needs it.
     """
 
+    EVERY = 16
+
     def __init__(self, spark: SparkSession, path: str, key: str, schema: str):
         self.spark, self.path, self.key, self.schema = spark, path.rstrip("/"), key, schema
-
-    def _versions(self) -> DataFrame:
-        return self.spark.read.schema("batch bigint, folder string").json(f"{self.path}/versions")
-
-    def _latest(self, before: int | None = None) -> str | None:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/versions")
-        if not hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop):
-            return None
-        rows = self._versions() if before is None else self._versions().filter(F.col("batch") < before)
-        last = rows.agg(F.max_by("folder", "batch")).first()[0]
-        return last
+        self.columns = [f.name for f in StructType.fromDDL(schema).fields]
+
+    def _folder(self, name: str = ""):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _written(self, kind: str) -> list[int]:
+        """The numbers of the folders of a kind that were written to their end."""
+        path, system = self._folder()
+        if not system.exists(path):
+            return []
+        names = [status.getPath().getName() for status in system.listStatus(path)]
+        numbers = [int(n.removeprefix(kind)) for n in names if n.startswith(kind)]
+        return sorted(n for n in numbers if system.exists(self._folder(f"{kind}{n}/_SUCCESS")[0]))
+
+    def _newest(self, before: int | None = None) -> DataFrame:
+        """(columns, _batch): the newest row of each key, of the batches before a number where one is given."""
+        kept = lambda numbers: [n for n in numbers if before is None or n < before]
+        base = kept(self._written("base-"))[-1:]
+        folders = [f"base-{n}" for n in base] + [f"delta-{n}" for n in kept(self._written("delta-")) if not base or n > base[0]]
+        schema = f"{self.schema}, _batch bigint"
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(schema).parquet(*[f"{self.path}/{f}" for f in folders])
+        if len(folders) == 1:
+            return rows
+        held = [F.col(c) for c in self.columns if c != self.key]
+        newest = rows.groupBy(self.key).agg(F.max_by(F.struct(*held, "_batch"), "_batch").alias("_r")).select(self.key, "_r.*")
+        return newest.select(*self.columns, "_batch")
 
     def table(self, before: int | None = None) -> DataFrame:
         """The table as of the last batch (or of the last one before a batch)."""
-        folder = self._latest(before)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{folder}") if folder else self.spark.createDataFrame([], self.schema)
+        return self._newest(before).select(*self.columns)
 
-    def upsert(self, batch: DataFrame, number: int, order: str | None = None) -> None:
+    def upsert(self, batch: DataFrame, number: int, order: str) -> None:
         """The batch's rows by key, the last by `order` winning, put into the table: the handler for on_message."""
-        rows = batch.groupBy(self.key).agg(F.max_by(F.struct(*[c for c in batch.columns if c != self.key]), order or F.lit(0)).alias("_r")).select(self.key, "_r.*")
-        old = self.table(before=number)
-        new = join.upsert(Keyed(old, self.key), Keyed(rows.select(*old.columns), self.key)).df
-        folder = f"v{number}-{uuid.uuid4().hex[:8]}"
-        new.write.parquet(f"{self.path}/{folder}")
-        self.spark.createDataFrame([(number, folder)], "batch bigint, folder string").coalesce(1).write.mode("append").json(f"{self.path}/versions")
+        held = [c for c in self.columns if c != self.key]
+        rows = batch.groupBy(self.key).agg(F.max_by(F.struct(*held), order).alias("_r")).select(self.key, "_r.*")
+        rows.select(*self.columns, F.lit(number).cast("bigint").alias("_batch")).write.mode("overwrite").parquet(f"{self.path}/delta-{number}")
+        if (number + 1) % self.EVERY == 0:
+            old = self._written("base-")[-1:]
+            self._newest(number + 1).write.mode("overwrite").parquet(f"{self.path}/base-{number}")
+            for kind in ("delta-", "base-"):
+                for n in self._written(kind):
+                    if old and n < old[0]:
+                        path, system = self._folder(f"{kind}{n}")
+                        system.delete(path, True)
 
 
 def running_state(stream: DataFrame, key: str, value: str, fold: Callable[[float, float], float], seed: float) -> DataFrame:
