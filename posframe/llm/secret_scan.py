@@ -30,6 +30,8 @@ ACCESS_PATTERN = r"AKIA[A-Z0-9]{14,}"
 HEX_PATTERN = r"[0-9a-f]{16,}"
 #: Candidates of the models: runs of the characters of keys, and of letters and digits alone.
 CANDIDATE, PART = r"[A-Za-z0-9+/_=-]{20,}", r"[A-Za-z0-9]{20,}"
+#: The codes between which all characters of candidates lie.
+FIRST, LAST = ord("+"), ord("z")
 #: Share of ordinary strings that may pass, and strings of each kind in a sample.
 FALSE_POSITIVES, RARITY, SAMPLE = 0.001, 1000, 4000
 
@@ -108,12 +110,16 @@ class MarkovModels:
         return cls(ratios)
 
     def score(self, token: Column) -> Column:
-        """The log-likelihood ratio of a token of ASCII characters, natural logarithm; linear in its length."""
-        table = F.split(F.lit(",".join(f"{r:.6f}" for r in self.ratios)), ",").cast("array<double>")
+        """The log-likelihood ratio of a token of the characters FIRST to LAST, natural logarithm; linear in its length.
+
+        A plan that names it holds the ratios of those characters.
+        """
+        codes = range(FIRST, LAST + 1)
+        table = F.split(F.lit(",".join(f"{self.ratios[a * 128 + b]:.4f}" for a in codes for b in codes)), ",").cast("array<double>")
 
         def step(state: Column, letter: Column) -> Column:
-            code = F.ascii(letter)
-            ratio = F.coalesce(F.get(table, state["before"] * 128 + code), F.lit(0.0))
+            code = F.ascii(letter) - FIRST
+            ratio = F.coalesce(F.get(table, state["before"] * len(codes) + code), F.lit(0.0))
             return F.struct(code.alias("before"), (state["sum"] + F.when(state["before"] < 0, F.lit(0.0)).otherwise(ratio)).alias("sum"))
 
         return F.aggregate(F.split(token, ""), F.struct(F.lit(-1).alias("before"), F.lit(0.0).alias("sum")), step, lambda s: s["sum"])
@@ -140,11 +146,13 @@ def scanned(docs: DataFrame, models: MarkovModels | None = None, threshold: floa
     models = models or MarkovModels.trained(default_samples(spark))
     threshold = threshold_of(models, default_samples(spark, first=SAMPLE)) if threshold is None else threshold
     body = docs.select(docs[doc_id].alias("doc_id"), text_of(docs, text).alias("text"))
-    is_random = lambda m: models.score(m) > threshold
-    rows = body.select("doc_id", base_spans(F.col("text")).alias("base"), found(F.col("text"), RANDOM, CANDIDATE).alias("whole"), found(F.col("text"), RANDOM, PART).alias("parts"))
-    rows = rows.select("doc_id", "base", F.filter(apart(F.col("whole"), F.col("base")), lambda s: is_random(s["match"])).alias("whole"), apart(F.col("parts"), F.col("base")).alias("parts"))
-    parts = F.filter(apart(F.col("parts"), F.col("whole")), lambda s: is_random(s["match"]))
-    return rows.select("doc_id", "base", F.concat("whole", parts).alias("added"))
+    candidates = F.concat(found(F.col("text"), RANDOM, CANDIDATE), found(F.col("text"), RANDOM + 1, PART))
+    rows = body.select("doc_id", base_spans(F.col("text")).alias("base"), candidates.alias("candidates"))
+    rows = rows.select("doc_id", "base", F.filter(apart(F.col("candidates"), F.col("base")), lambda s: models.score(s["match"]) > threshold).alias("random"))
+    whole, parts = F.filter("random", lambda s: s["kind"] == RANDOM), F.filter("random", lambda s: s["kind"] > RANDOM)
+    rows = rows.select("doc_id", "base", whole.alias("whole"), parts.alias("parts"))
+    added = F.concat("whole", apart(F.col("parts"), F.col("whole")))
+    return rows.select("doc_id", "base", F.transform(added, lambda s: s.withField("kind", F.lit(RANDOM))).alias("added"))
 
 
 def report(scanned_rows: DataFrame) -> DataFrame:
