@@ -354,6 +354,8 @@ def test_bpe_is_the_library():
 
     tk, coder, r = Tokenizer.from_file(tokenizer()), bpe.RankBPE(tokenizer(), cached=50), random.Random(1)
     texts = ["".join(r.choice(ALPHABET) for _ in range(r.randint(0, 30))) for _ in range(1500)]
+    # words about the length at which the array of ranks gives way to a heap
+    texts += ["".join(r.choice(a) for _ in range(n)) for a in ("ab", "abcdefghijklmnop", "tion") for n in range(bpe.LONG_WORD - 2, bpe.LONG_WORD + 3) for _ in range(3)]
     texts += ["a" * 5000, "ab" * 3000, "=" * 3000, " " * 3000 + "x", "".join(r.choice("abcdefgh") for _ in range(4000)), "<|endoftext|>" * 50]
     for t in texts:
         ids = tk.encode(t, add_special_tokens=False).ids
@@ -716,6 +718,20 @@ def test_pipeline_stages(spark, tmp_path):
     assert Counter(r["doc_id"] for r in pipeline.run(spark, str(tmp_path)).collect()) == seen["encode"]
 
 
+def test_pipeline_without_rows_and_without_labels(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    given = rows()[:6] + [(400, "", "en", None, 0), (401, None, None, None, None)]
+    for name, made, want in (("empty", [], 0), ("unlabelled", [(i, t, None, s, n) for i, t, _, s, n in given], 8)):
+        df = spark.createDataFrame(made, SCHEMA).select("*", *[F.lit(7).alias(c) for c in EXTRA])
+        folder = str(tmp_path / name)
+        df.write.parquet(f"{folder}/documents.parquet")
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        kept = pipeline.language(spark, docs, folder)
+        assert kept.columns == docs.columns and kept.count() == want
+        out = pipeline.run(spark, folder).collect()
+        assert {r["doc_id"] for r in out} <= {x[0] for x in made} and bool(out) == bool(made)
+
+
 def test_queries_with_sql_match_duckdb(spark, data):
     duckdb = pytest.importorskip("duckdb")
     from posframe.llm import queries
