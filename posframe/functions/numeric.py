@@ -106,6 +106,66 @@ def linear(x: C, weights: list[list[float]], bias: list[float]) -> C:
     return F.array(*[dot(x, F.array(*map(F.lit, map(float, row)))) + float(b) for row, b in zip(weights, bias)])
 
 
+def convolve(x: C, kernel: list[float], stride: int = 1) -> C:
+    """The dot products of a kernel with the full windows of a cell, one every `stride`."""
+    weights, size = F.array(*map(F.lit, map(float, kernel))), len(kernel)
+    starts = F.sequence(F.lit(0), F.size(x) - size, F.lit(stride))
+    return F.when(F.size(x) >= size, F.transform(starts, lambda s: dot(F.slice(x, s + 1, size), weights))).otherwise(F.array().cast("array<double>"))
+
+
+def _added(x: C, y: C) -> C:
+    return F.zip_with(x, y, lambda a, b: a + b)
+
+
+def attention(q: C, k: C, v: C) -> C:
+    """Scaled dot-product attention; q, k and v are cells of rows, k and v of one length."""
+
+    def weighted(weights: C) -> C:
+        rows = F.zip_with(weights, v, lambda w, row: F.transform(row, lambda a: a.cast("double") * w))
+        return F.aggregate(F.slice(rows, F.lit(2), F.size(rows)), F.get(rows, F.lit(0)), _added)
+
+    def of(query: C) -> C:
+        scores = F.transform(k, lambda key: dot(query, key) / F.sqrt(F.size(query).cast("double")))
+        return let(softmax(scores), weighted)
+
+    return F.transform(q, of)
+
+
+def lstm(steps: C, weights: list[list[float]], bias: list[float], hidden: int) -> C:
+    """The last hidden state of a recurrent cell over a cell of input rows. Driver-side weights, a row for each of the
+    input, forget, candidate and output gates of each hidden unit in turn, over the inputs and then the hidden units."""
+    zeros = F.array(*[F.lit(0.0)] * hidden)
+
+    def step(state: C, x: C) -> C:
+        def gated(g: C) -> C:
+            part = lambda i: F.slice(g, i * hidden + 1, hidden)
+            kept = F.zip_with(part(1), state["c"], lambda f, c: sigmoid(f) * c)
+            new = F.zip_with(part(0), part(2), lambda i, n: sigmoid(i) * F.tanh(n))
+            return let(_added(kept, new), lambda c: F.struct(F.zip_with(part(3), c, lambda o, v: sigmoid(o) * F.tanh(v)).alias("h"), c.alias("c")))
+
+        return let(let(F.concat(x, state["h"]), lambda both: linear(both, weights, bias)), gated)
+
+    return F.aggregate(steps, F.struct(zeros.alias("h"), zeros.alias("c")), step, lambda s: s["h"])
+
+
+def _blade_sign(a: int, b: int) -> int:
+    """The sign of the product of two basis blades, given as bit masks whose bit 0 is the null direction; 0 if it vanishes."""
+    if a & b & 1:
+        return 0
+    swaps = sum((a >> i).bit_count() if b >> i - 1 & 1 else 0 for i in range(1, 5))
+    return -1 if swaps % 2 else 1
+
+
+def geometric(x: C, y: C) -> C:
+    """The geometric product of multivectors of projective space: sixteen coefficients by bit mask, e0 squared 0."""
+    out: list[list[C]] = [[] for _ in range(16)]
+    for a in range(16):
+        for b in range(16):
+            if sign := _blade_sign(a, b):
+                out[a ^ b].append(F.get(x, F.lit(a)) * F.get(y, F.lit(b)) * sign)
+    return F.array(*[sum(terms[1:], terms[0]) for terms in out])
+
+
 def _on_cells(f, kind: str, *columns: C) -> C:
     """A numpy function over array cells, a batch at a time; null stays null."""
 

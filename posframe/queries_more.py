@@ -413,6 +413,56 @@ def activations(embeddings):
     return embeddings.select("vec_id", F.round(numeric.total(numeric.relu(x)), 4).alias("relu"), F.round(numeric.total(numeric.silu(x)), 4).alias("silu"), F.round(F.get(dense, F.lit(0)) - 1, 4).alias("d")).select("vec_id", "relu", "silu", (c("d") + 1).alias("dense"))
 
 
+@query("select vec_id, s::bigint as s, round(embedding[s + 1]::double - 2 * embedding[s + 2]::double + embedding[s + 3]::double, 5) + 0.0 as v from embeddings, range(0, 62, 2) r(s)", "embeddings")
+def convolutions(embeddings):
+    """Second differences, every other one."""
+    made = embeddings.select("vec_id", F.posexplode(numeric.convolve(c("embedding"), [1.0, -2.0, 1.0], 2)).alias("i", "v"))
+    return made.select("vec_id", (c("i") * 2).cast("bigint").alias("s"), (F.round("v", 5) + 0.0).alias("v"))
+
+
+@query(
+    """with t as (select vec_id, r, j, embedding[r * 8 + j + 1]::double as x from embeddings, range(0, 8) a(r), range(0, 8) b(j)),
+    s as (select q.vec_id, q.r, k.r as o, sum(q.x * k.x) / sqrt(8) as score from t q join t k using (vec_id, j) group by 1, 2, 3),
+    w as (select *, exp(score) / sum(exp(score)) over (partition by vec_id, r) as w from s)
+    select w.vec_id, w.r::bigint as r, t.j::bigint as j, round(sum(w * x), 5) + 0.0 as v from w join t on t.vec_id = w.vec_id and t.r = w.o group by 1, 2, 3""",
+    "embeddings",
+)
+def self_attention(embeddings):
+    """Eight rows of eight numbers attend to each other."""
+    rows = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.slice(c("embedding"), r * 8 + 1, 8))
+    made = embeddings.select("vec_id", F.posexplode(numeric.attention(rows, rows, rows)).alias("r", "row")).select("vec_id", "r", F.posexplode("row").alias("j", "v"))
+    return made.select("vec_id", c("r").cast("bigint").alias("r"), c("j").cast("bigint").alias("j"), (F.round("v", 5) + 0.0).alias("v"))
+
+
+@query(
+    """with recursive s as (select vec_id, embedding, 0 as t, 0::double as h, 0::double as c from embeddings union all
+    select vec_id, embedding, t + 1, tanh(c2) / (1 + exp(-(x + 0.25))), c2 from (select *, c / (1 + exp(-(x - h))) + tanh(0.5 * x + h) / (1 + exp(-(x + h))) as c2
+    from (select *, embedding[t + 1]::double as x from s where t < 16)))
+    select vec_id, round(h, 5) + 0.0 as h from s where t = 16""",
+    "embeddings",
+)
+def recurrent_state(embeddings):
+    """One hidden unit over the first sixteen numbers."""
+    steps = F.transform(F.slice(c("embedding"), 1, 16), lambda x: F.array(x.cast("double")))
+    state = numeric.lstm(steps, [[1.0, 1.0], [1.0, -1.0], [0.5, 1.0], [1.0, 0.0]], [0.0, 0.0, 0.0, 0.25], 1)
+    return embeddings.select("vec_id", (F.round(F.get(state, F.lit(0)), 5) + 0.0).alias("h"))
+
+
+@query("select n_nationkey, (n_nationkey * 2 + n_regionkey * 3 + 1)::double as dot, (n_nationkey * 3 - n_regionkey * 2)::double as xy, (n_nationkey - 2)::double as xz, (n_regionkey - 3)::double as yz, 0::double as null_ from nation", "nation")
+def multivectors(nation):
+    """The product of the directions (key, region, 1) and (2, 3, 1): their dot product and the planes between them."""
+    put = lambda x, y, z: F.array(*[v.cast("double") if (v := {2: x, 4: y, 8: z}.get(i)) is not None else F.lit(0.0) for i in range(16)])
+    p = numeric.geometric(put(c("n_nationkey"), c("n_regionkey"), F.lit(1)), put(F.lit(2), F.lit(3), F.lit(1)))
+    at = lambda i: F.get(p, F.lit(i))
+    return nation.select("n_nationkey", at(0).alias("dot"), at(6).alias("xy"), at(10).alias("xz"), at(12).alias("yz"), at(3).alias("null_"))
+
+
+@query("select 0::bigint as pos, 'one' as line union all select 1, 'two'", "region")
+def program_lines(region):
+    """What a program writes."""
+    return files.execute(region.sparkSession, "printf", "one\\ntwo\\n").withColumnRenamed("_pos", "pos")
+
+
 # ---------------------------------------------------------------- user functions
 
 

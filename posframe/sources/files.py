@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import importlib
 import os
+import subprocess
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -122,6 +123,14 @@ def write_json(df: DataFrame, path: str) -> None:
     df.select(*columns_of(df)).write.mode("overwrite").json(path)
 
 
+def execute(spark: SparkSession, *command: str) -> DataFrame:
+    """The lines (_pos, line) that a program of the driver's machine writes; its failure is an error. No shell reads the command."""
+    done = subprocess.run(command, capture_output=True, check=False)
+    if done.returncode:
+        raise EngineError("io", f"{command[0]}: {done.returncode}")
+    return spark.createDataFrame(list(enumerate(done.stdout.decode().splitlines())), f"{POS} bigint, line string")
+
+
 def environment(name: str) -> str | None:
     """A host setting."""
     return os.environ.get(name)

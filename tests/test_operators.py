@@ -247,6 +247,27 @@ def test_as_of_over_ranges_of_a_hot_key(spark):
     assert {x["id"]: x["p"] for x in join.as_of(a, b, "t", ["k"], ["p"]).collect()} == want
 
 
+def test_geometric_product(spark):
+    """The axioms of projective space: squares of the directions, anticommutation, associativity."""
+    from posframe.functions import numeric
+
+    r = random.Random(3)
+    made = lambda: [float(r.randint(-3, 3)) for _ in range(16)]
+    lit = lambda x: F.array(*map(F.lit, x))
+    blade = lambda m: [float(i == m) for i in range(16)]
+    a, b, d = made(), made(), made()
+    product = lambda *of: spark.range(1).select(*[numeric.geometric(lit(x), lit(y)).alias(f"p{i}") for i, (x, y) in enumerate(of)]).first()
+    ab, bd = product((a, b), (b, d))
+    assert product((ab, d))[0] == product((a, bd))[0]
+    pairs = [(1 << i, 1 << j) for i in range(4) for j in range(4)]
+    row = {"p": product(*[(blade(x), blade(y)) for x, y in pairs])}
+    got = {xy: p for xy, p in zip(pairs, row["p"])}
+    for i in range(4):
+        assert got[1 << i, 1 << i] == [0.0 if i == 0 else 1.0] + [0.0] * 15
+        for j in range(i):
+            assert got[1 << i, 1 << j] == [-x for x in got[1 << j, 1 << i]] and any(got[1 << i, 1 << j])
+
+
 def test_window_golden_values(spark):
     v = vec(spark, [1, 3, 5, 7, 9], "int")
     assert [round(x, 3) for x in values(window.mavg(v, "v", 3, "o"), "o")] == [0.333, 1.333, 3.0, 5.0, 7.0]
