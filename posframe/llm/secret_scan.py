@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .spans import apart, count_of, found, written
+from .spans import apart, count_of, found, let, written
 from .shared import text_of
 
 KINDS = ("assign", "access", "hex", "random")
@@ -70,23 +70,26 @@ def default_samples(spark: SparkSession, n: int = SAMPLE, first: int = 0) -> Dat
     letters = F.translate(base64, "0123456789+/", "")
     kinds = [digest, F.upper(F.conv(F.substring(digest, 1, 15), 16, 36)), F.translate(base64, "+/", "-_"), base64, F.translate(base64, "+/", ""), letters, F.lower(letters), F.upper(letters)]
     strings = F.get(F.array(*kinds), number(1, len(kinds)))
-    words = F.array(*map(F.lit, WORDS))
-    syllables = F.array(*[F.lit(c + v) for c in ONSETS for v in RIMES])
-
-    def word(i: int) -> Column:
-        made = F.concat(*[F.get(syllables, number(100 * i + j, len(ONSETS) * len(RIMES))) for j in range(3)])
-        return F.when(number(50 + i, 3) == 0, made).otherwise(F.get(words, number(i, len(WORDS))))
-
-    parts = [word(i) for i in range(2, 7)]
-    camel = F.concat(parts[0], *[F.initcap(p) for p in parts[1:]])
-    date = F.concat_ws("-", number(20, 40) + 1990, F.lpad(number(21, 12) + 1, 2, "0"), F.lpad(number(22, 28) + 1, 2, "0"))
-    joined = [
-        F.concat_ws("_", *parts), camel, F.upper(F.concat_ws("_", *parts)), F.concat_ws("/", *parts), F.concat_ws("-", *parts), F.concat(*parts[:3]), F.upper(F.concat(*parts[:3])),
-        F.concat(parts[0], F.lit("_"), parts[1], F.lit("_"), (number(9, 130) + 1900).cast("string")), F.concat(date, F.lit("-"), parts[0], F.lit("-"), parts[1]),
-        F.concat(parts[0], F.lit("="), parts[1], F.lit("/"), parts[2], number(23, 100).cast("string")), F.concat(F.initcap(parts[0]), F.initcap(parts[1]), F.initcap(parts[2]), number(24, 20).cast("string")),
-        F.repeat(F.get(F.split(F.lit("-=_/+x0"), ""), number(25, 7)), F.lit(30)),
-    ]
-    identifiers = F.get(F.array(*joined), number(26, len(joined)))
+    syllables = [c + v for c in ONSETS for v in RIMES]
+    tables = F.struct(F.split(F.lit(" ".join(WORDS)), " ").alias("words"), F.split(F.lit(" ".join(syllables)), " ").alias("syllables"))
+
+    def word(of: Column, i: int) -> Column:
+        made = F.concat(*[F.get(of["syllables"], number(100 * i + j, len(syllables))) for j in range(3)])
+        return F.when(number(50 + i, 3) == 0, made).otherwise(F.get(of["words"], number(i, len(WORDS))))
+
+    def joined(p: Column) -> Column:
+        parts = [F.get(p, F.lit(i)) for i in range(5)]
+        camel = F.concat(parts[0], *[F.initcap(x) for x in parts[1:]])
+        date = F.concat_ws("-", number(20, 40) + 1990, F.lpad(number(21, 12) + 1, 2, "0"), F.lpad(number(22, 28) + 1, 2, "0"))
+        ways = [
+            F.concat_ws("_", *parts), camel, F.upper(F.concat_ws("_", *parts)), F.concat_ws("/", *parts), F.concat_ws("-", *parts), F.concat(*parts[:3]), F.upper(F.concat(*parts[:3])),
+            F.concat(parts[0], F.lit("_"), parts[1], F.lit("_"), (number(9, 130) + 1900).cast("string")), F.concat(date, F.lit("-"), parts[0], F.lit("-"), parts[1]),
+            F.concat(parts[0], F.lit("="), parts[1], F.lit("/"), parts[2], number(23, 100).cast("string")), F.concat(*[F.initcap(x) for x in parts[:3]], number(24, 20).cast("string")),
+            F.repeat(F.get(F.split(F.lit("-=_/+x0"), ""), number(25, 7)), F.lit(30)),
+        ]
+        return F.get(F.array(*ways), number(26, len(ways)))
+
+    identifiers = let(let(tables, lambda of: F.array(*[word(of, i) for i in range(2, 7)])), joined)
     random = ids.select(F.substring(strings, F.lit(1), F.lit(20) + number(27, 21)).alias("text"), F.lit(True).alias("random"))
     return random.unionByName(ids.select(identifiers.alias("text"), F.lit(False).alias("random")))
 
