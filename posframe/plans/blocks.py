@@ -69,7 +69,7 @@ def framed(df: DataFrame, columns: Mapping[str, Callable[[WindowSpec], Column]],
 
 def _framed(df: DataFrame, columns: Mapping[str, Callable[[WindowSpec], Column]], before: int, after: int, pos: str, keys: Sequence[str], block: int) -> DataFrame:
     place = F.col(pos).cast("long")
-    of = lambda p: F.floor(p / F.lit(block)).cast("long") if block > 1 else p
+    of = lambda p: F.call_function("div", p, F.lit(block))
     homes = F.sequence(of(F.greatest(place - after, F.lit(0))), of(place + before))
     spread = df.select("*", of(place).alias("_home"), F.explode(homes).alias("_block"))
     w = W.partitionBy(*keys, "_block").orderBy(pos)
