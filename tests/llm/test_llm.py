@@ -274,6 +274,14 @@ def test_twenty_thousand_spans_of_both_kinds_in_one_text(spark):
     assert [(x["n_assign"], x["n_random"]) for x in r] == [(n, n)] * 2
 
 
+def test_personal_data_of_null_ids_and_repeated_rows(spark):
+    rows = [(None, "call +1 202 555 0143 now"), (None, "call +1 202 555 0143 now"), (7, "a@b.co"), (7, "a@b.co"), (7, None), (8, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as base", "2 as proposed", "3 as kind").repartition(3)
+    got = Counter((r["doc_id"], r["n_phone"], r["n_email"], r["spans"]) for r in as_list(pii.report(pii.findings(df))))
+    assert got == Counter({(None, 1, 0, "phone:5:20"): 2, (7, 0, 1, "email:0:6"): 2, (7, 0, 0, ""): 1, (8, 0, 0, ""): 1})
+    assert as_list(pii.report(pii.findings(df.filter("false")))) == []
+
+
 def test_apart_is_overlap_by_hand(spark):
     from posframe.llm import spans
 
