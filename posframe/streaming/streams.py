@@ -76,11 +76,11 @@ class KeyedStore:
         numbers = [int(n.removeprefix(kind)) for n in names if n.startswith(kind)]
         return sorted(n for n in numbers if system.exists(self._folder(f"{kind}{n}/_SUCCESS")[0]))
 
-    def _newest(self, before: int | None = None) -> DataFrame:
-        """(columns, _batch): the newest row of each key, of the batches before a number where one is given."""
-        kept = lambda numbers: [n for n in numbers if before is None or n < before]
-        base = kept(self._written("base-"))[-1:]
-        folders = [f"base-{n}" for n in base] + [f"delta-{n}" for n in kept(self._written("delta-")) if not base or n > base[0]]
+    def _newest(self, before: int | None = None, base_before: int | None = None) -> DataFrame:
+        """(columns, _batch): the newest row of each key, of the batches and from a base before a number where one is given."""
+        kept = lambda numbers, most: [n for n in numbers if most is None or n < most]
+        base = kept(self._written("base-"), before if base_before is None else base_before)[-1:]
+        folders = [f"base-{n}" for n in base] + [f"delta-{n}" for n in kept(self._written("delta-"), before) if not base or n > base[0]]
         schema = f"{self.schema}, _batch bigint"
         if not folders:
             return self.spark.createDataFrame([], schema)
@@ -101,8 +101,8 @@ class KeyedStore:
         rows = batch.groupBy(self.key).agg(F.max_by(F.struct(*held), order).alias("_r")).select(self.key, "_r.*")
         rows.select(*self.columns, F.lit(number).cast("bigint").alias("_batch")).write.mode("overwrite").parquet(f"{self.path}/delta-{number}")
         if (number + 1) % self.EVERY == 0:
-            old = self._written("base-")[-1:]
-            self._newest(number + 1).write.mode("overwrite").parquet(f"{self.path}/base-{number}")
+            old = [n for n in self._written("base-") if n < number][-1:]
+            self._newest(number + 1, number).write.mode("overwrite").parquet(f"{self.path}/base-{number}")
             for kind in ("delta-", "base-"):
                 for n in self._written(kind):
                     if old and n < old[0]:

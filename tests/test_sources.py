@@ -141,6 +141,20 @@ def test_keyed_store_from_a_stream(spark, tmp_path):
     assert [r[0] for r in rows(store.table(before=1).select("k"), "k")] == [1, 2] or [r[0] for r in rows(store.table(before=1).select("k"), "k")] == [2, 3]
 
 
+def test_keyed_store_merges_its_deltas(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams.KeyedStore, "EVERY", 3)
+    store = streams.KeyedStore(spark, str(tmp_path / "store"), "k", "k int, v string, t int")
+    want: dict = {}
+    for n in range(11):
+        batch = [(k, f"{n}-{k}", 10 * n + k) for k in range(n % 4, n % 4 + 3)] + [(n % 4, None if n == 5 else f"{n}-late", 1000)]
+        for _ in range(2 if n in (2, 4) else 1):  # a batch that is tried again
+            store.upsert(spark.createDataFrame(batch, "k int, v string, t int"), n, "t")
+        want |= {k: v for k, v, _ in batch}
+        assert {r["k"]: r["v"] for r in store.table().collect()} == want
+    folders = {p.name for p in (tmp_path / "store").iterdir()}
+    assert "base-8" in folders and "base-2" not in folders and "delta-1" not in folders and "delta-9" in folders
+
+
 def test_running_state_and_windows(spark, tmp_path):
     inbox = str(tmp_path / "in")
     spark.sql("select * from values (1, timestamp'2024-01-01 00:00:10', 2.0), (1, timestamp'2024-01-01 00:00:50', 3.0), (2, timestamp'2024-01-01 00:01:10', 4.0) t(k, ts, v)").selectExpr("k", "ts", "cast(v as double) v").coalesce(1).write.parquet(inbox)
