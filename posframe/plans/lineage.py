@@ -6,11 +6,23 @@ import atexit
 import shutil
 import tempfile
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame
 
+_known: set[str] = set()
+
+
+def _drop(context: SparkContext, path: str) -> None:
+    """Remove this application's checkpoints; where its JVM has gone first, they stay for the folder's own retention."""
+    try:
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:
+        return
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the session's checkpoint folder.
+    """df computed once and kept in the session's checkpoint folder until the driver ends.
 
     The folder is what spark.checkpoint.dir names; only a local master may go without it.
     """
@@ -21,4 +33,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
         path = tempfile.mkdtemp(prefix="posframe-checkpoint-")
         atexit.register(shutil.rmtree, path, True)
         context.setCheckpointDir(path)
+    own = context._jsc.sc().getCheckpointDir().get()  # a folder of this application alone, below the one that is set
+    if own not in _known:
+        _known.add(own)
+        atexit.register(_drop, context, own)
     return df.checkpoint(eager=True)
