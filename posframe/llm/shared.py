@@ -7,6 +7,9 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import lru_cache
 from pathlib import Path
 
@@ -91,14 +94,41 @@ def clean(spark: SparkSession) -> None:
     _drop(spark, _own_dir(spark))
 
 
+#: The tables (name, path) that the innermost `scratch` of this thread has to drop.
+_written: ContextVar[list[tuple[str, str]] | None] = ContextVar("written", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession, *kept: str) -> Iterator[None]:
+    """What is cut inside goes at the end, but the tables named; those are left to the scratch around, if any.
+
+    Nothing that reads the others may be used later. The JVM is asked to collect its garbage, since Spark removes the
+    shuffle files of a finished plan when the plan is collected, which a driver of much memory puts off.
+    """
+    token = _written.set([])
+    try:
+        yield
+        written = _written.get()
+    finally:
+        _written.reset(token)
+    for name, path in written:
+        if name not in kept:
+            _drop(spark, path)
+        elif (around := _written.get()) is not None:
+            around.append((name, path))
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
     The plan that follows starts at replicated files: a lost executor costs no recomputation of what came before, and
-    later joins see a true size. The files live until the application ends, or until `clean`.
+    later joins see a true size. The files live until the application ends, or until `clean`, or the `scratch` about it does.
     """
     path = f"{_own_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (written := _written.get()) is not None:
+        written.append((name, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
