@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import cut, fresh, text_of, word_count
+from .shared import WORD, cut, fresh, text_of, word_count
 
 BLOCK_ROWS, RANGE_ROWS, PACKET = 50_000, 200_000, 128
 
@@ -145,9 +145,17 @@ def planned(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float
 
 
 def mixed(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, repeats: int = 2, seed: int = 17, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The rows of docs that the mix takes, each as often as it takes them, all columns as they are."""
-    plan = planned(docs, weights, share, repeats, seed, doc_id, text, source).filter("times > 0")
-    key, place, times = fresh(docs, "mix_id", "mix_place", "mix_times")
-    plan = cut(plan.groupBy(F.col("doc_id").alias(key), F.col("place").alias(place)).agg(F.max("times").alias(times)), "taken")
-    own = F.xxhash64(F.lit(seed), docs[doc_id], text_of(docs, text))
-    return docs.join(plan, docs[doc_id].eqNullSafe(plan[key]) & (own == plan[place])).withColumn(times, F.explode(F.array_repeat(F.lit(0), F.col(times)))).select(*[docs[c] for c in docs.columns])
+    """The rows of docs that the mix takes, each as often as it takes them, all columns as they are.
+
+    A source's documents are taken in the order of their places, so that the last one of each repeat tells all others: a
+    row per source goes to the documents, and no text moves.
+    """
+    plan = planned(docs, weights, share, repeats, seed, doc_id, text, source)
+    key, lasts = fresh(docs, "mix_source", "mix_lasts")
+    last = [F.max(F.when(F.col("times") > r, F.struct("place", "doc_id"))) for r in range(repeats)]
+    ends = cut(plan.filter("times > 0").groupBy(F.col("source").alias(key)).agg(F.array(*last).alias(lasts)), "ends")
+    body = text_of(docs, text)
+    own = F.struct(F.xxhash64(F.lit(seed), docs[doc_id], body).alias("place"), docs[doc_id].alias("doc_id"))
+    times = F.size(F.filter(lasts, lambda end: own <= end))
+    taken = docs.join(ends, docs[source].eqNullSafe(ends[key])).filter(body.rlike(WORD))
+    return taken.withColumn(lasts, F.explode(F.array_repeat(F.lit(0), times))).select(*[docs[c] for c in docs.columns])

@@ -221,6 +221,27 @@ def test_mixed_rows(docs, empty):
     assert mix.mixed(empty).collect() == []
 
 
+def test_mixed_moves_no_text(spark, tmp_path):
+    r = random.Random(6)
+    rows = [(i if i % 9 else None, " ".join("w" * r.randint(1, 9) + str(i) for _ in range(r.choice([0, 1, 3, 40, 200]))), r.choice("aabc") if i % 7 else None) for i in range(600)]
+    rows += [(i, t, "d") for i, t, s in rows if s == "b" and i and i % 2]  # a document of two sources, whose shares differ
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "8k")
+    try:
+        out = mix.mixed(docs)
+        assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+        got = Counter(tuple(x) for x in out.select("doc_id", "source", F.xxhash64(F.lit(17), "doc_id", "text")).collect())
+    finally:
+        spark.conf.set(key, before)
+    want = Counter()
+    for x in as_list(mix.planned(docs)):
+        want[x["doc_id"], x["source"], x["place"]] += x["times"]
+    assert {0, 1, 2} <= set(want.values()) and got == +want
+
+
 # ------------------------------------------------------------------------------------------------ secrets (op 2)
 
 
