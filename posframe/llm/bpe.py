@@ -25,10 +25,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .shared import ship, text_of
+from .shared import lean, ship, text_of
 
 LONG_WORD = 256
-CACHED_WORDS = 250_000
+#: Most encoded words of a generation, and where the worker shares the executor with other stages (`token_ids`): fewer take
+#: more time, not other results.
+CACHED_WORDS, CACHED_BESIDE = 250_000, 50_000
 #: Words whose arrays are merged together.
 TOGETHER = 1 << 13
 NONE = 1 << 62
@@ -240,8 +242,8 @@ AT_ONCE = 256
 
 
 @lru_cache(maxsize=2)
-def _coder(path: str) -> RankBPE:
-    return RankBPE(path)
+def _coder(path: str, cached: int = CACHED_WORDS) -> RankBPE:
+    return RankBPE(path, cached)
 
 
 def token_ids(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -249,14 +251,14 @@ def token_ids(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(tokenizer)
+        coder = _coder(tokenizer, CACHED_BESIDE)
         for batch in batches:
             for at in range(0, batch.num_rows, AT_ONCE):
                 part = batch.slice(at, AT_ONCE)
                 ids = [ids_of(d) for d in coder.decimal(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "n_tokens", "ids"])
 
-    return docs.select(docs[doc_id].cast("long").alias("doc_id"), text_of(docs, text).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
+    return docs.select(docs[doc_id].cast("long").alias("doc_id"), text_of(docs, text).alias("text")).mapInArrow(lean(run), "doc_id long, n_tokens long, ids array<int>")
 
 
 def texts(encoded: DataFrame, tokenizer: str, ids: str = "ids", doc_id: str = "doc_id") -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, keep_rows, ship, text_of
+from .shared import cut, keep_rows, lean, ship, text_of
 
 UND = "und"
 #: Labelled rows of each language that the models are fitted on.
@@ -94,7 +94,7 @@ class TrigramModels:
                 used = np.flatnonzero(total)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(used), pa.string()), pa.array(used, pa.int64()), pa.array(total[used])], names=["lang", "bucket", "n"])
 
-        counted = sample.select(sample[label].alias("lang"), text_of(sample, text).cast("binary").alias("body")).mapInArrow(count, "lang string, bucket long, n long")
+        counted = sample.select(sample[label].alias("lang"), text_of(sample, text).cast("binary").alias("body")).mapInArrow(lean(count), "lang string, bucket long, n long")
         summed = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
         languages = sorted(set(summed["lang"]))
         table = np.full((BUCKETS, len(languages) + 1), smoothing)
@@ -143,7 +143,7 @@ def _scored(rows: DataFrame, models: TrigramModels) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(counts), *map(pa.array, scores.T)], names=["doc_id", "mark", "host", "suffix", "declared", "n_trigrams", *names])
 
     given = rows.select("doc_id", F.xxhash64("text").alias("mark"), "host", "suffix", "declared", F.col("text").cast("binary").alias("body"))
-    return given.mapInArrow(run, f"doc_id long, mark long, host string, suffix string, declared string, n_trigrams long, {', '.join(n + ' double' for n in names)}")
+    return given.mapInArrow(lean(run), f"doc_id long, mark long, host string, suffix string, declared string, n_trigrams long, {', '.join(n + ' double' for n in names)}")
 
 
 def _greatest(columns: list[Column]) -> Column:

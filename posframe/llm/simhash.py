@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import cut, keep_rows, ship, text_of
+from .shared import cut, keep_rows, lean, ship, text_of
 
 
 @dataclass(frozen=True)
@@ -370,8 +370,8 @@ def links(distinct: DataFrame, views: tuple[View, ...] = LINKED, shard: int | No
                 i, shards, own = tree.route(part.column(0).to_numpy().view(np.uint64), views[0].reach)
                 yield pa.RecordBatch.from_arrays([pa.array(shards), pa.array(own), *[c.take(pa.array(i)) for c in part.columns]], names=["shard", "own", "fp", "rest", "node"])
 
-    routed = distinct.select("fp", "rest", "node").mapInArrow(route, "shard long, own boolean, fp long, rest binary, node long")
-    return routed.repartition("shard").sortWithinPartitions("shard", F.col("own").desc()).mapInArrow(_forests(views), "a long, b long")
+    routed = distinct.select("fp", "rest", "node").mapInArrow(lean(route), "shard long, own boolean, fp long, rest binary, node long")
+    return routed.repartition("shard").sortWithinPartitions("shard", F.col("own").desc()).mapInArrow(lean(_forests(views)), "a long, b long")
 
 
 def grouped(docs: DataFrame, views: tuple[View, ...] = LINKED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

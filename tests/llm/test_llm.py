@@ -14,7 +14,7 @@ pytest.importorskip("posframe.llm")
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from posframe.llm import bpe, components, exact_dedup, langid, media, mix, pii, secret_scan, sharding, simhash, token_counts  # noqa: E402
+from posframe.llm import bpe, components, exact_dedup, langid, media, mix, pii, secret_scan, sharding, shared, simhash, token_counts  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 EXTRA = ("kept", "recipe", "mark", "size", "fp", "node", "shard", "target", "place", "kept_id", "kept_mark", "mix_id")
@@ -242,6 +242,25 @@ def test_mixed_moves_no_text(spark, tmp_path):
     assert {0, 1, 2} <= set(want.values()) and got == +want
 
 
+def test_workers_give_free_memory_back():
+    def taken():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+
+    kept = []
+
+    def run(batches):
+        for batch in batches:
+            blocks = [bytes([i % 256]) * 5000 for i in range(40_000)]
+            kept.append(blocks[-1])  # the end of the heap stays in use
+            del blocks
+            yield batch
+
+    before = taken()
+    assert list(shared.lean(run)(iter([1, 2]))) == [1, 2]
+    assert taken() - before < 50_000_000 and len(kept) == 2
+
+
 # ------------------------------------------------------------------------------------------------ secrets (op 2)
 
 
