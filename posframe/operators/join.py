@@ -1,7 +1,7 @@
 """Lookup joins, upserts, membership, and joins by condition.
 
 Join strategies are left to Catalyst and adaptive execution: a small side is broadcast by its measured size, a skewed key is
-split; nothing here forces a broadcast.
+split; nothing here forces a broadcast. `within` alone asks for a merge.
 """
 
 from __future__ import annotations
@@ -107,16 +107,18 @@ def theta(left: DataFrame, right: DataFrame, equal: Sequence[Column], condition:
 def within(left: DataFrame, right: DataFrame, x: str, y: str, radius: float) -> DataFrame:
     """Pairs of points at most `radius` apart, by grid cells: a point meets the nine cells about it, not all points.
 
-    Both sides have columns x and y; the right's come back as r_<name>.
+    The left is copied to the three cells about it along x and the right to the three along y, so that a pair meets once.
+    Sizes are estimated without the copies, so a side that is to be broadcast may be far too large for it: they are merged,
+    which can spill. Both sides have columns x and y; the right's come back as r_<name>.
     """
     cell = lambda c: F.floor(F.col(c) / F.lit(float(radius))).cast("long")
+    about = lambda c: F.explode(F.array(*[F.try_add(cell(c), F.lit(i)) for i in (-1, 0, 1)]))
     other = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
-    other = other.withColumns({"_cx": cell(f"r_{x}"), "_cy": cell(f"r_{y}")})
-    steps = F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    spread = left.select("*", F.explode(steps).alias("_d")).withColumns({"_lx": cell(x) + F.col("_d.dx"), "_ly": cell(y) + F.col("_d.dy")})
+    other = other.select("*", cell(f"r_{x}").alias("_cx"), about(f"r_{y}").alias("_cy"))
+    spread = left.select("*", about(x).alias("_lx"), cell(y).alias("_ly"))
     square = (F.col(x) - F.col(f"r_{x}")) * (F.col(x) - F.col(f"r_{x}")) + (F.col(y) - F.col(f"r_{y}")) * (F.col(y) - F.col(f"r_{y}"))
-    near = spread.join(other, (F.col("_lx") == F.col("_cx")) & (F.col("_ly") == F.col("_cy"))).withColumn("distance", F.sqrt(square))
-    return near.filter(F.col("distance") <= radius).drop("_d", "_lx", "_ly", "_cx", "_cy")
+    near = spread.hint("merge").join(other, (F.col("_lx") == F.col("_cx")) & (F.col("_ly") == F.col("_cy"))).withColumn("distance", F.sqrt(square))
+    return near.filter(F.col("distance") <= radius).drop("_lx", "_ly", "_cx", "_cy")
 
 
 def as_of(left: DataFrame, right: DataFrame, time: str, keys: Sequence[str], values: Sequence[str]) -> DataFrame:

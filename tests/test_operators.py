@@ -34,6 +34,25 @@ def mixed(spark):
     return generate.literal(spark, {"i": [1, 2, 3, 4, 5], "f": [1.5, 2.5, 3.5, 4.5, 5.5], "s": list("abcde"), "b": [True, False, False, False, True], "t": list("vwxyz")}, "i int, f double, s string, b boolean, t string")
 
 
+def moved(df):
+    """The rows that each exchange of a plan has moved, by kind, once it has run."""
+    df.collect()
+    out, nodes = [], [df._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        kind = node.getClass().getSimpleName()
+        if kind in ("ShuffleExchangeExec", "BroadcastExchangeExec"):
+            name = "shuffleRecordsWritten" if kind == "ShuffleExchangeExec" else "numOutputRows"
+            out.append((kind, node.metrics().apply(name).value()))
+        if kind == "AdaptiveSparkPlanExec":
+            nodes.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            nodes.append(node.plan())
+        else:
+            nodes += [node.children().apply(i) for i in range(node.children().size())]
+    return out
+
+
 # ------------------------------------------------------------------------------------------------ tables
 
 
@@ -151,6 +170,23 @@ def test_find_member_radius_as_of(spark):
     assert {tuple(x) for x in join.as_of(left, right, "t", ["key"], ["v"]).collect()} == {("k", 5, 50), ("k", 1, None), ("j", 9, None)}
 
 
+def test_radius_copies_are_few_and_not_broadcast(spark, tmp_path):
+    spark.range(500).select("id", (c("id") % 25 * 0.5).alias("x"), F.floor(c("id") / 25).cast("double").alias("y")).write.parquet(str(tmp_path / "grid"))
+    pts = spark.read.parquet(str(tmp_path / "grid"))
+    pairs = join.within(pts, pts, "x", "y", 1.0)
+    exchanges = moved(pairs)
+    assert {kind for kind, _ in exchanges} == {"ShuffleExchangeExec"} and sum(n for _, n in exchanges) <= 6 * 500
+    rows = pts.collect()
+    met = [(p["id"], q["id"]) for p in rows for q in rows if math.hypot(p["x"] - q["x"], p["y"] - q["y"]) <= 1]
+    assert sorted((p["id"], p["r_id"]) for p in pairs.collect()) == sorted(met)
+
+
+def test_radius_edges(spark):
+    pts = spark.createDataFrame([(0, -0.5, 0.0), (1, 0.5, 0.0), (2, None, 0.0), (3, float("nan"), 0.0), (4, float("inf"), 0.0), (5, 0.0, float("-inf")), (6, 1e300, 0.0)], "id int, x double, y double")
+    assert sorted((p["id"], p["r_id"]) for p in join.within(pts, pts, "x", "y", 1.0).collect()) == [(0, 0), (0, 1), (1, 0), (1, 1), (6, 6)]
+    assert join.within(pts.limit(0), pts, "x", "y", 1.0).collect() == []
+
+
 # ------------------------------------------------------------------------------------------------ groups
 
 
