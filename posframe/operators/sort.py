@@ -54,9 +54,17 @@ def cut(df: DataFrame, starts: Sequence[int], pos: str = POS, out: str = "seg")
 
 
 def cut_fold(df: DataFrame, starts: Sequence[int], *aggregates: Column, pos: str = POS, out: str = "seg") -> DataFrame:
-    """O11 with a fold of each segment, the empty ones too."""
+    """O11 with a fold of each segment, the empty ones too: theirs is the fold of no rows.
+
+    Rows are folded before they meet the list of segments, so that a segment with most of the rows moves as partial folds.
+    """
     all_ = df.sparkSession.range(len(starts)).select(F.col("id").alias("_seg"))
-    return all_.join(cut(df, starts, pos, out), F.col("_seg") == F.col(out), "left").groupBy(F.col("_seg").alias(out)).agg(*aggregates)
+    rows = cut(df, starts, pos, out)
+    fold = F.struct(*[a.alias(f"_{i}") for i, a in enumerate(aggregates)])
+    folds = rows.groupBy(F.col(out).alias("_of")).agg(fold.alias("_fold"))
+    none = rows.filter(F.lit(False)).agg(fold.alias("_none"))
+    every = all_.join(folds, F.col("_seg") == F.col("_of"), "left").crossJoin(none).withColumn("_fold", F.coalesce("_fold", "_none"))
+    return every.select(F.col("_seg").alias(out), *[F.col("_fold").getField(f"_{i}").alias(name) for i, name in enumerate(rows.agg(*aggregates).columns)])
 
 
 def reshape(df: DataFrame, value: str, columns: int, pos: str = POS, row: str = "row", out: str = "r") -> DataFrame:

@@ -351,6 +351,22 @@ def test_cut_reshape(spark):
     assert [r["v"] for r in sort.top(vec(spark, [3, 9, 9, 1], "int"), 2, "v").collect()] == [9, 9]
 
 
+def test_cut_fold_moves_partial_folds(spark):
+    rows = spark.range(0, 4000, 1, 4).select(c("id").alias("_pos"), F.when(c("id") % 7 > 0, c("id") * 0.5).alias("v"))
+    starts = [10, 30, 30, 50, 9000]
+    got = sort.cut_fold(rows, starts, F.count("v").alias("n"), F.sum("v"), F.count("*").alias("n"), F.collect_list(F.when(c("seg") < 2, c("_pos"))).alias("p"))
+    assert got.columns == ["seg", "n", "sum(v)", "n", "p"]
+    want = []
+    for i, (a, b) in enumerate(zip(starts, [*starts[1:], 10**9])):
+        inside = [p for p in range(4000) if a <= p < b]
+        kept = [p * 0.5 for p in inside if p % 7]
+        want.append((i, len(kept), sum(kept) if kept else None, len(inside), inside if i < 2 else []))
+    assert sorted((*r[:4], sorted(r[4])) for r in got.collect()) == want
+    assert sum(n for _, n in moved(sort.cut_fold(rows, starts, F.sum("v").alias("s")))) < 60
+    nothing = sort.cut_fold(rows.limit(0), starts, F.count("v").alias("n"), F.sum("v").alias("s")).orderBy("seg").collect()
+    assert [tuple(r) for r in nothing] == [(i, 0, None) for i in range(5)]
+
+
 def test_sets(spark):
     a, b = vec(spark, [1, 2, 2, 3], "int"), vec(spark, [2, 4], "int")
     v = lambda df: sorted(r["v"] for r in df.select("v").collect())
